@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from ..shared import write_table
 from .common import map_rows
-from .tokens import UnitEncoder, encoded, tokenizer_path
+from .tokens import encoded, encoder_of, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, window long, offset long, fill long"
 
@@ -55,7 +55,7 @@ def packer(path: str, end_id: int, size: int, most: int):
     from pyspark import TaskContext
 
     end = end_id.to_bytes(4, "little")
-    encoder = UnitEncoder(path)
+    encoder = encoder_of(path)
     windows = Windows(size, most, TaskContext.get().partitionId() << 32)
 
     def each(cols: list) -> dict[str, list]:

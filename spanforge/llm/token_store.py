@@ -34,7 +34,7 @@ from pyspark.sql.types import StructType
 
 from ..shared import new_path, remove
 from .common import map_rows
-from .tokens import UnitEncoder, encoded, tokenizer_path
+from .tokens import encoded, encoder_of, load_tokenizer, tokenizer_path
 
 ROLL = 16
 NAME_BYTES = 16
@@ -103,11 +103,11 @@ def write_store(
     spark = docs.sparkSession
     place = tokenizer_path(tokenizer)
     end = end_id.to_bytes(4, "little")
-    width = 2 if UnitEncoder(place).tok.get_vocab_size() <= 1 << 16 else 4
+    width = 2 if load_tokenizer(place).get_vocab_size() <= 1 << 16 else 4
     schema = StructType.fromDDL(CUT)
 
     def cutter():
-        encoder, seen = UnitEncoder(place), set()
+        encoder, seen = encoder_of(place), set()
 
         def each(cols):
             out = {k: [] for k in schema.names}

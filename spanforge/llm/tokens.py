@@ -3,8 +3,9 @@
 ``UnitEncoder`` gives exactly the ids of ``Tokenizer.encode(text)``. The two
 supported vocabularies never merge across the borders of the units cut here,
 so the ids of a text are the ids of its units in a row, and units that were
-met before need no second encoding. The memory of units is bounded: it is
-emptied when it holds ``MEMO_UNITS`` entries, and long units are not kept.
+met before need no second encoding. A worker process keeps one encoder for all
+its tasks. Its memory of units is bounded: at ``MEMO_UNITS`` entries all go but
+those of the latest texts, and long units are never kept.
 
 A null text is the empty text; it has no ids but the end id of its document.
 """
@@ -18,16 +19,22 @@ import numpy as np
 
 #: The white space of Unicode, which both tokenizers' patterns call \s (fixed values).
 SPACE = "\t-\r \x85\xa0  -     　"
-#: A word with the one space before it, a run of white space up to the last of it, a last white space.
-BYTE_UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
+#: Letters (U+0130, whose lower case ends in a mark, is none here), and marks that no contraction
+#: begins with; between the two every text is cut.
+LETTER = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+MARK = "!-&(-/:-@[-`{-~"
+#: A run of letters or marks or else a word, each with the one space before it; a run of white space up to the last of it; a last white space.
+BYTE_UNITS = re.compile(f" ?(?:[{LETTER}]++(?![^{MARK}{SPACE}])|[{MARK}]++(?![^{LETTER}{SPACE}])|[^{SPACE}]+)|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
 #: White space only divides words and leaves no ids.
-WORD_UNITS = re.compile(f"[^{SPACE}]+")
+WORD_UNITS = re.compile(f"[{LETTER}]++(?![^{MARK}{SPACE}])|[{MARK}]++(?![^{LETTER}{SPACE}])|[^{SPACE}]+")
+#: Texts without such characters have no marks that compose with letters, and may be lower-cased before they are cut.
+COMPOSING = re.compile("[̀-\U0010ffff]")
 UNITS = {"byte_bpe_50k.json": BYTE_UNITS, "word_bpe_49k.json": WORD_UNITS}
 #: Stands between new units that are encoded in one go: a text that neither tokenizer joins to its
 #: neighbours, with one id, and the mark that keeps a unit out of such a row.
 BETWEEN = {"byte_bpe_50k.json": ("\n", re.compile(f".[{SPACE}]|^[{SPACE}]$", re.S)), "word_bpe_49k.json": (" 0 ", re.compile("0"))}
 
-MEMO_UNITS = 600_000
+MEMO_UNITS = 1_000_000
 MEMO_CHARS = 48
 #: Texts that are encoded together, in characters.
 GROUP_CHARS = 400_000
@@ -76,14 +83,17 @@ class UnitEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.units is None:
             return [self._whole(t) for t in texts]
+        if self.units is WORD_UNITS:
+            texts = [t if COMPOSING.search(t) else t.lower() for t in texts]
         cut = [self.units.findall(t) for t in texts]
         memo = self.memo
-        new = [u for u in set().union(*cut) if u not in memo]
+        units = set().union(*cut)
+        new = [u for u in units if u not in memo]
         if new:
             self._learn(new)
         out = [b"".join(map(memo.__getitem__, us)) for us in cut]
         if len(memo) > MEMO_UNITS:
-            memo.clear()
+            self.memo = {u: memo[u] for u in units if len(u) <= MEMO_CHARS}
         else:
             for u in new:
                 if len(u) > MEMO_CHARS:
@@ -91,6 +101,16 @@ class UnitEncoder:
         return out
 
 
+_encoders: dict[str, UnitEncoder] = {}
+
+
+def encoder_of(path: str) -> UnitEncoder:
+    """This process's encoder for a tokenizer file."""
+    if path not in _encoders:
+        _encoders[path] = UnitEncoder(path)
+    return _encoders[path]
+
+
 def encoded(texts: list[str | None], encoder: UnitEncoder):
     """Yields the ids of each text in order, encoding a bounded number of characters at a time."""
     group: list[str] = []
