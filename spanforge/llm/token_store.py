@@ -28,6 +28,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,32 +37,36 @@ from ..shared import new_path, remove
 from .common import map_rows
 from .tokens import encoded, encoder_of, load_tokenizer, tokenizer_path
 
-ROLL = 16
+#: Ids under the rolling hash. Chunks are longer, so documents can be hashed in a row: no cut sees the one before.
+ROLL = 12
 NAME_BYTES = 16
 #: Names that a task remembers in order not to send a chunk twice.
 SEEN = 1_000_000
 
 
-def cuts(ids: np.ndarray, bits: int, least: int, most: int) -> list[int]:
-    """Ends of the chunks of ``ids``: where the rolling hash's low ``bits`` are zero, ``least`` to ``most`` ids apart."""
-    n = len(ids)
+def meets(ids: np.ndarray, bits: int) -> np.ndarray:
+    """Places after which the hash of the last ROLL ids has zeros in its low ``bits``."""
+    g = ids * np.uint32(0x9E3779B1)
+    g ^= g >> np.uint32(15)
+    g *= np.uint32(0x85EBCA77)
+    h = g.copy()
+    for j in range(1, min(ROLL, len(ids))):
+        h[j:] += g[:-j] << np.uint32(2 * j)
+    h ^= h >> np.uint32(16)
+    return np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0) + 1
+
+
+def cuts(met: list[int], n: int, least: int, most: int) -> list[int]:
+    """Ends of the chunks of a document of ``n`` ids: where it was ``met``, ``least`` to ``most`` ids apart."""
     ends: list[int] = []
     last = 0
-    if n > least:
-        g = ids * np.uint32(0x9E3779B1)
-        g ^= g >> np.uint32(15)
-        g *= np.uint32(0x85EBCA77)
-        h = g.copy()
-        for j in range(1, min(ROLL, n)):
-            h[j:] += g[:-j] << np.uint32(j)
-        h ^= h >> np.uint32(16)
-        for at in (np.flatnonzero((h & np.uint32((1 << bits) - 1)) == 0) + 1).tolist():
-            while at - last > most:
-                last += most
-                ends.append(last)
-            if at - last >= least and at < n:
-                ends.append(at)
-                last = at
+    for at in met:
+        while at - last > most:
+            last += most
+            ends.append(last)
+        if at - last >= least and at < n:
+            ends.append(at)
+            last = at
     while n - last > most:
         last += most
         ends.append(last)
@@ -110,49 +115,46 @@ def write_store(
         encoder, seen = encoder_of(place), set()
 
         def each(cols):
-            out = {k: [] for k in schema.names}
-
-            def add(**row):
-                for k in out:
-                    out[k].append(row.get(k))
-
-            for doc, raw in zip(cols[0], encoded(cols[1], encoder), strict=True):
-                raw += end
-                ids = np.frombuffer(raw, "<u4")
-                small = ids.astype(f"<u{width}").tobytes()
-                names, lengths, at = [], [], 0
-                for to in cuts(ids, cut_bits, least, most):
-                    part = small[width * at : width * to]
-                    names.append(name_of(part))
-                    lengths.append(to - at)
-                    if names[-1] not in seen:
+            rows = []
+            raw = [x + end for x in encoded(cols[1], encoder)]
+            ids = np.frombuffer(b"".join(raw), "<u4")
+            small = ids.astype(f"<u{width}").tobytes()
+            to = np.cumsum([len(x) // 4 for x in raw])
+            met = meets(ids, cut_bits)
+            splits = np.searchsorted(met, to, "right").tolist()
+            first = at = 0
+            for doc, upto, split in zip(cols[0], to.tolist(), splits, strict=True):
+                names, lengths, last = [], [], 0
+                for stop in cuts((met[at:split] - first).tolist(), upto - first, max(least, ROLL), most):
+                    part = small[width * (first + last) : width * (first + stop)]
+                    name = name_of(part)
+                    names.append(name)
+                    lengths.append(stop - last)
+                    if name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
-                        seen.add(names[-1])
-                        add(kind="chunks", name=names[-1], n_ids=to - at, ids=part)
-                    at = to
-                add(kind="recipes", doc_id=doc, n_tokens=len(ids), names=b"".join(names), lengths=np.asarray(lengths, "<u4").tobytes(), root=merkle(names))
-            return out
+                        seen.add(name)
+                        rows.append(("chunks", name, stop - last, part, None, None, None, None, None))
+                    last = stop
+                rows.append(("recipes", None, None, None, doc, upto - first, b"".join(names), np.asarray(lengths, "<u4").tobytes(), merkle(names)))
+                first, at = upto, split
+            return dict(zip(schema.names, zip(*rows, strict=True), strict=True))
 
         return each
 
-    def once():
+    def once(batches):
         seen: set[bytes] = set()
-
-        def each(cols):
+        for batch in batches:
             keep = []
-            for i, (kind, name) in enumerate(zip(cols[0], cols[1], strict=True)):
-                if kind == "recipes" or name not in seen:
-                    keep.append(i)
-                    if kind == "chunks":
-                        seen.add(name)
-            return {k: [c[i] for i in keep] for k, c in zip(schema.names, cols, strict=True)}
-
-        return each
+            for kind, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                keep.append(kind == "recipes" or name not in seen)
+                if kind == "chunks":
+                    seen.add(name)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     cut = map_rows(docs.select("doc_id", "text"), cutter, schema)
     dealt = cut.repartition(F.xxhash64("name", "doc_id", "root"))
-    map_rows(dealt, once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/dealt")
+    dealt.mapInArrow(once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/dealt")
 
     recipes = spark.read.schema(schema).parquet(f"{path}/dealt").where("kind = 'recipes'").select("doc_id", "n_tokens", "names", "lengths", "root")
     ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
@@ -163,8 +165,6 @@ def write_store(
 
 def _segments(ordered: DataFrame) -> DataFrame:
     """Numbers the rows of each sorted partition and ends it with the segment's own row."""
-    import pyarrow as pa
-
     schema = StructType.fromDDL("segment long, " + DOCUMENT)
 
     def run(batches):
