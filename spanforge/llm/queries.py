@@ -4,23 +4,45 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import credentials, winnow
 from .common import table
+from .credentials import find_secrets
 from .packing import pack
+from .pii import find_pii
+from .quality import score_quality
 from .rules import apply_rules
 from .token_store import token_store
+from .winnow import decontaminate
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(table(spark, sf_dir, "documents"))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents")).drop("rules_run", "rejected_by")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op4_packing, op9_quality_rules)}
-SQL: dict[str, str] = {}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_quality_classifier, op4_packing, op5_secret_scan, op9_quality_rules, op10_decontamination)}
+#: Where SQL can't give a query's rows they are tested against brute force instead.
+SQL = {"op5_secret_scan": credentials.SQL, "op10_decontamination": winnow.SQL}
