@@ -24,10 +24,12 @@ gives an empty store. Other columns are not read, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,13 +88,8 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def split_names(raw: bytes) -> list[bytes]:
-    return [raw[i : i + NAME_BYTES] for i in range(0, len(raw), NAME_BYTES)]
-
-
-CUT = "kind string, name binary, n_ids long, ids binary, doc_id long, n_tokens long, names binary, lengths binary, root binary"
-DOCUMENT = "kind string, position long, doc_id long, before long, n_tokens long, names binary, lengths binary, root binary, n_docs long"
-CHUNK = "name binary, n_ids long, ids binary"
+CUT = "kind string, name binary, n_ids long, ids binary, doc_id long, n_tokens long, names binary, ends array<int>, root string"
+DOCUMENT = "kind string, position long, doc_id long, before long, n_tokens long, names binary, ends array<int>, root string, n_docs long"
 
 
 def write_store(
@@ -124,19 +121,20 @@ def write_store(
             splits = np.searchsorted(met, to, "right").tolist()
             first = at = 0
             for doc, upto, split in zip(cols[0], to.tolist(), splits, strict=True):
-                names, lengths, last = [], [], 0
+                names, ends, last = [], [], 0
                 for stop in cuts((met[at:split] - first).tolist(), upto - first, max(least, ROLL), most):
                     part = small[width * (first + last) : width * (first + stop)]
                     name = name_of(part)
                     names.append(name)
-                    lengths.append(stop - last)
+                    ends.append(stop)
                     if name not in seen:
                         if len(seen) >= SEEN:
                             seen.clear()
                         seen.add(name)
                         rows.append(("chunks", name, stop - last, part, None, None, None, None, None))
                     last = stop
-                rows.append(("recipes", None, None, None, doc, upto - first, b"".join(names), np.asarray(lengths, "<u4").tobytes(), merkle(names)))
+                listed = b"".join(names)
+                rows.append(("recipes", None, None, None, doc, upto - first, listed, ends, hashlib.sha256(listed).hexdigest()))
                 first, at = upto, split
             return dict(zip(schema.names, zip(*rows, strict=True), strict=True))
 
@@ -156,7 +154,7 @@ def write_store(
     dealt = cut.repartition(F.xxhash64("name", "doc_id", "root"))
     dealt.mapInArrow(once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/dealt")
 
-    recipes = spark.read.schema(schema).parquet(f"{path}/dealt").where("kind = 'recipes'").select("doc_id", "n_tokens", "names", "lengths", "root")
+    recipes = spark.read.schema(schema).parquet(f"{path}/dealt").where("kind = 'recipes'").select("doc_id", "n_tokens", "names", "ends", "root")
     ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
     _segments(ordered).write.partitionBy("kind").parquet(f"{path}/ordered")
     _manifest(spark, path, width)
@@ -174,18 +172,18 @@ def _segments(ordered: DataFrame) -> DataFrame:
         out = to_arrow_schema(schema)
         segment, position, before, roots = TaskContext.get().partitionId(), 0, 0, []
         for b in batches:
-            cols = dict(zip(b.schema.names, (c.to_pylist() for c in b.columns), strict=True))
             starts = []
-            for n in cols["n_tokens"]:
+            for n in b.column("n_tokens").to_pylist():
                 starts.append(before)
                 before += n
             k = b.num_rows
-            roots += cols["root"]
-            cols |= {"segment": [segment] * k, "kind": ["documents"] * k, "position": list(range(position, position + k)), "before": starts, "n_docs": [None] * k}
+            roots += map(bytes.fromhex, b.column("root").to_pylist())
+            cols = dict(zip(b.schema.names, b.columns, strict=True))
+            cols |= {"segment": pa.array([segment] * k), "kind": pa.array(["documents"] * k), "position": pa.array(range(position, position + k)), "before": pa.array(starts, pa.int64()), "n_docs": pa.nulls(k, pa.int64())}
             position += k
-            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in out], schema=out)
+            yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in out], schema=out)
         if position:
-            row = {"segment": segment, "kind": "segments", "n_tokens": before, "root": merkle(roots), "n_docs": position}
+            row = {"segment": segment, "kind": "segments", "n_tokens": before, "root": merkle(roots).hex(), "n_docs": position}
             yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], type=f.type) for f in out], schema=out)
 
     return ordered.mapInArrow(run, schema)
@@ -195,9 +193,9 @@ def _manifest(spark: SparkSession, path: str, width: int) -> None:
     """One row for each segment, that is for each task that sorted recipes."""
     rows, start = [], 0
     for r in _ordered(spark, path).where("kind = 'segments'").select("segment", "n_docs", "n_tokens", "root").orderBy("segment").collect():
-        rows.append((r.segment, start, r.n_docs, r.n_tokens, bytes(r.root), width))
+        rows.append((r.segment, start, r.n_docs, r.n_tokens, r.root, width))
         start += r.n_tokens
-    schema = "segment long, start long, n_docs long, n_tokens long, root binary, width int"
+    schema = "segment long, start long, n_docs long, n_tokens long, root string, width int"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{path}/manifest")
 
 
@@ -210,7 +208,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     manifest = spark.read.parquet(f"{path}/manifest").select("segment", "start")
     # one manifest row for each task that sorted recipes, 16 bytes each
     own = _ordered(spark, path).where("kind = 'documents'").join(F.broadcast(manifest), "segment")
-    return own.select("segment", "position", "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "names", "lengths", "root")
+    return own.select("segment", "position", "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "names", "ends", "root")
 
 
 def chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -221,6 +219,7 @@ def chunks(spark: SparkSession, path: str) -> DataFrame:
 POLYNOMIAL = 0xEDB88320
 
 
+@functools.cache
 def _shift_tables(levels: int = 40) -> list[np.ndarray]:
     """For each k, what 2**k zero bytes after a message make of its CRC, by the CRC's four bytes."""
     basis = np.arange(256, dtype=np.uint32)[None, :] << (8 * np.arange(4, dtype=np.uint32))[:, None]
@@ -238,35 +237,25 @@ def _apply(t: np.ndarray, crc: np.ndarray) -> np.ndarray:
     return t[0][crc & byte] ^ t[1][(crc >> np.uint32(8)) & byte] ^ t[2][(crc >> np.uint32(16)) & byte] ^ t[3][crc >> np.uint32(24)]
 
 
-def crc_before(crc: np.ndarray, after: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+def crc_before(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
     """What each part's CRC adds to its message's where ``after`` bytes follow the part."""
-    crc = crc.astype(np.uint32)
+    crc, tables = crc.astype(np.uint32), _shift_tables()
     for k in range(int(after.max(initial=0)).bit_length()):
         some = np.flatnonzero((after >> k) & 1)
         crc[some] = _apply(tables[k], crc[some])
     return crc
 
 
-PART = "segment long, position long, doc_id long, start long, n_tokens long, n_parts long, root_holds boolean, name binary, length long, after long"
+KEY = ["segment", "position", "doc_id", "start", "n_tokens", "n_parts", "root_holds"]
 
 
 def parts(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each chunk of each document, with the ids that follow it there."""
-    schema = StructType.fromDDL(PART)
-
-    def make():
-        def each(cols):
-            rows = []
-            for segment, position, doc, start, n, names, lengths, root in zip(*cols, strict=True):
-                names, lengths = split_names(names), np.frombuffer(lengths, "<u4").astype(np.int64)
-                after = n - np.cumsum(lengths)
-                holds = merkle(names) == root
-                rows += [(segment, position, doc, start, n, len(names), holds, *x) for x in zip(names, lengths.tolist(), after.tolist(), strict=True)]
-            return dict(zip(schema.names, zip(*rows, strict=True), strict=True))
-
-        return each
-
-    return map_rows(documents(spark, path), make, schema)
+    """A row for each chunk of each document, with its length there and the ids that follow it."""
+    own = documents(spark, path).select(
+        "segment", "position", "doc_id", "start", "n_tokens", F.size("ends").alias("n_parts"), (F.sha2("names", 256) == F.col("root")).alias("root_holds"), "names", F.posexplode("ends").alias("nth", "end"), "ends",
+    )
+    length = F.col("end") - F.when(F.col("nth") > 0, F.expr("ends[nth - 1]")).otherwise(0)
+    return own.select(*KEY, F.substring("names", F.col("nth") * NAME_BYTES + 1, F.lit(NAME_BYTES)).alias("name"), length.alias("length"), (F.col("n_tokens") - F.col("end")).alias("after"))
 
 
 def read_back(spark: SparkSession, path: str) -> DataFrame:
@@ -275,36 +264,25 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
     def crcs():
         def each(cols):
-            names, lengths, ids = cols
-            wide = [np.frombuffer(x, f"<u{width}").astype("<u4") for x in ids]
+            names, ids = cols
             return {
                 "name": names,
-                "crc": [zlib.crc32(x.tobytes()) for x in wide],
-                "holds": [name_of(x) == n and len(w) == k for x, n, k, w in zip(ids, names, lengths, wide, strict=True)],
+                "crc": [zlib.crc32(np.frombuffer(x, f"<u{width}").astype("<u4").tobytes()) for x in ids],
+                "n_ids": [len(x) // width for x in ids],
+                "holds": [name_of(x) == n for x, n in zip(ids, names, strict=True)],
             }
 
         return each
 
-    def shifted():
-        tables = _shift_tables()
-
-        def each(cols):
-            own = list(cols)
-            crc, after = np.asarray([x or 0 for x in own[-1]], np.int64), np.asarray(own[-2], np.int64)
-            own[-1] = crc_before(crc, 4 * after, tables).astype(np.int64).tolist()
-            return dict(zip([*KEY, "length", "holds", "after", "crc"], own, strict=True))
-
-        return each
-
-    own = map_rows(chunks(spark, path), crcs, StructType.fromDDL("name binary, crc long, holds boolean"))
-    met = parts(spark, path).join(own, "name", "left").select(*KEY, "length", "holds", "after", "crc")
-    schema = StructType.fromDDL("segment long, position long, doc_id long, start long, n_tokens long, n_parts long, root_holds boolean, length long, holds boolean, after long, crc long")
-    each = map_rows(met, shifted, schema)
-    whole = each.groupBy(*KEY).agg(F.bit_xor("crc").alias("ids_crc32"), F.sum("length").alias("n_ids"), F.count("holds").alias("n_found"), F.min(F.coalesce("holds", F.lit(False))).alias("holds"))
-    return whole.select("doc_id", "start", "n_tokens", "ids_crc32", F.expr("holds and root_holds and n_ids = n_tokens and n_found = n_parts").alias("verified"))
+    @F.pandas_udf("long")
+    def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series(crc_before(crc.to_numpy(np.int64), 4 * after.to_numpy(np.int64)).astype(np.int64))
 
-
-KEY = ["segment", "position", "doc_id", "start", "n_tokens", "n_parts", "root_holds"]
+    stored = chunks(spark, path).select("name", "ids")
+    own = map_rows(stored, crcs, StructType.fromDDL("name binary, crc long, n_ids long, holds boolean"))
+    met = parts(spark, path).join(own, "name", "left").select(*KEY, shifted(F.coalesce("crc", F.lit(0)), "after").alias("crc"), F.expr("coalesce(holds and n_ids = length, false)").alias("holds"))
+    whole = met.groupBy(*KEY).agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_met"), F.min("holds").alias("holds"))
+    return whole.select("doc_id", "start", "n_tokens", "ids_crc32", F.expr("holds and root_holds and n_met = n_parts").alias("verified"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:

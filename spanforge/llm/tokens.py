@@ -37,7 +37,7 @@ BETWEEN = {"byte_bpe_50k.json": ("\n", re.compile(f".[{SPACE}]|^[{SPACE}]$", re.
 MEMO_UNITS = 1_000_000
 MEMO_CHARS = 48
 #: Texts that are encoded together, in characters.
-GROUP_CHARS = 400_000
+GROUP_CHARS = 1_500_000
 
 
 def tokenizer_path(name: str) -> str:
