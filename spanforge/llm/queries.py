@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, winnow
+from . import credentials, perspectives, winnow
 from .common import table
 from .credentials import find_secrets
+from .jaccard_join import jaccard_components
 from .packing import pack
+from .perspectives import rotate
 from .pii import find_pii
 from .quality import score_quality
 from .rules import apply_rules
@@ -35,6 +37,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+def op8_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(table(spark, sf_dir, "documents")).drop("rules_run", "rejected_by")
 
@@ -43,6 +53,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_quality_classifier, op4_packing, op5_secret_scan, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_quality_classifier, op4_packing, op5_secret_scan, op7_jaccard_join, op8_perspectives, op9_quality_rules, op10_decontamination)}
 #: Where SQL can't give a query's rows they are tested against brute force instead.
-SQL = {"op5_secret_scan": credentials.SQL, "op10_decontamination": winnow.SQL}
+SQL = {"op5_secret_scan": credentials.SQL, "op8_perspectives": perspectives.SQL, "op10_decontamination": winnow.SQL}
