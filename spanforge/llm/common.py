@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -28,9 +29,12 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
+        gc.disable()  # the many lists of words hold no cycles; what else might is collected batch by batch
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 got = each([c.to_pylist() for c in batch.slice(at, ROWS).columns])
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
+            gc.collect(0)
+        gc.enable()
 
     return df.mapInArrow(run, schema)
