@@ -113,7 +113,7 @@ def whole_sets(docs: DataFrame, stay: DataFrame) -> DataFrame:
 
         return each
 
-    texts = docs.select("doc_id", "text").join(stay.withColumnRenamed("rep", "doc_id"), "doc_id").select("cls", "text")
+    texts = docs.select("doc_id", "text").join(stay, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
     return map_rows(texts, make, StructType.fromDDL("cls long, n long, tokens array<long>")).dropDuplicates(["cls"])
 
 

@@ -13,6 +13,7 @@ from .perspectives import rotate
 from .pii import find_pii
 from .quality import score_quality
 from .rules import apply_rules
+from .suffixes import repeated_passages
 from .token_store import token_store
 from .winnow import decontaminate
 
@@ -37,6 +38,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,6 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_quality_classifier, op4_packing, op5_secret_scan, op7_jaccard_join, op8_perspectives, op9_quality_rules, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_quality_classifier, op4_packing, op5_secret_scan, op6_suffix_arrays, op7_jaccard_join, op8_perspectives, op9_quality_rules, op10_decontamination)}
 #: Where SQL can't give a query's rows they are tested against brute force instead.
 SQL = {"op5_secret_scan": credentials.SQL, "op8_perspectives": perspectives.SQL, "op10_decontamination": winnow.SQL}

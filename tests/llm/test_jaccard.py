@@ -78,3 +78,10 @@ def test_tables(spark):
 def test_odd_rows(spark, odd_docs, no_docs):
     assert got(jaccard_join.jaccard_components(odd_docs)) == brute([(r.doc_id, r.text) for r in odd_docs.collect()])
     assert jaccard_join.jaccard_components(no_docs).count() == 0
+
+
+def test_rows_without_doc_id(spark):
+    base = "one two three four five six seven eight nine ten eleven twelve " * 2
+    docs = [(None, base), (None, base), (3, base + "x"), (None, "alone in the world of words")]
+    out = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 3), (0, 3), (3, 3)]
