@@ -12,11 +12,12 @@ documents keep, hold at least l of the shared ones, and so do y's.
    alone are dropped, and classes that keep less than o(x); the rest are ordered
    by frequency. Each class picks the l, and by it the length of its prefix, with
    the least estimated cost of candidates; a pair needs min(l(x), l(y)) matches.
-3. Every prefix shingle has a few leaders, and classes are verified against the
-   leaders that they meet most. A group of near copies becomes one component
-   with work in proportion to its size.
-4. Between components every pair with enough matches is verified, in blocks of
-   bounded size, until a link is found. Within a component nothing is left to do.
+3. Every prefix shingle has a leader, and in some turns classes are verified
+   against leaders that they meet most. A group of near copies becomes one
+   component with work in proportion to its size.
+4. Between components every pair with enough matches, and with enough shingles
+   that can be shared for their sizes, is verified, in blocks of bounded size,
+   until a link is found. Within a component nothing is left to do.
 
 Documents without words have no shingles and are linked with nothing; fewer
 words than a shingle are one shingle. Null and empty texts are such documents.
@@ -28,10 +29,9 @@ not read. Classes and shingles are told apart by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
-import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -42,7 +42,7 @@ from .shingles import shingle_sets
 SHINGLE = 5
 SIMILARITY = (75, 100)
 LEADERS = 4
-ROUNDS = 2
+TURNS = 2
 BLOCK = 256
 #: Cost of verifying a candidate against that of meeting it, for the choice of l.
 VERIFY_COST = 8
@@ -113,52 +113,42 @@ def whole_sets(docs: DataFrame, stay: DataFrame) -> DataFrame:
 
         return each
 
-    texts = docs.select("doc_id", "text").join(stay, F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
+    # what stays grows with the input, so it is never broadcast
+    texts = docs.select("doc_id", "text").join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
     return map_rows(texts, make, StructType.fromDDL("cls long, n long, tokens array<long>")).dropDuplicates(["cls"])
 
 
 def reduced(sets: DataFrame) -> DataFrame:
-    """The sets without the tokens that one class has alone, the rarest first, of the classes that can still link."""
+    """cls, n, tokens without those that one class has alone, and their counts, the rarest first, of the classes that can still link."""
     postings = sets.select("cls", "n", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    own = postings.join(counts, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    return own.where(F.size("tokens") >= F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1]))
+    own = postings.join(counts, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    return own.where(F.size("t") >= F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1])).select("cls", "n", F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"))
 
 
 def with_prefixes(sets: DataFrame) -> DataFrame:
-    """Adds ``asked`` (l) and ``prefix`` to the reduced sets, l by the least estimated cost."""
+    """Adds ``asked`` (l) and ``prefix`` to the reduced sets, l by the least estimated cost.
 
-    def make():
-        def each(cols):
-            out = {"cls": cols[0], "n": cols[1], "asked": [], "prefix": [], "tokens": []}
-            for n, tokens in zip(cols[1], cols[2], strict=True):
-                df, token = np.asarray([t["df"] for t in tokens]), np.asarray([t["token"] for t in tokens], np.int64)
-                cost = np.cumsum(df - 1)
-                o = least_shared(n)
-                best = (math.inf, 1, 0)
-                asked = 1
-                while asked <= min(o, matches_asked(n)):
-                    take = min(len(token), len(token) - o + asked)
-                    scan = float(cost[take - 1])
-                    # more matches leave fewer candidates to verify
-                    best = min(best, (scan + VERIFY_COST * scan / asked**2, asked, take))
-                    asked *= 2
-                out["asked"].append(best[1])
-                out["prefix"].append(token[: best[2]])
-                out["tokens"].append(np.sort(token))
-            return out
-
-        return each
-
-    return map_rows(sets, make, StructType.fromDDL("cls long, n long, asked int, prefix array<long>, tokens array<long>"))
+    Meeting a prefix costs the classes that share its tokens, and more matches
+    leave fewer of them to verify.
+    """
+    o = f"cast(ceil(n * {SIMILARITY[0]} / {SIMILARITY[1]}) as int)"
+    ways = []
+    for asked in (1, 2, 4, 8, 16):
+        take = f"greatest(size(tokens) - {o} + {asked}, 0)"
+        scan = f"aggregate(slice(dfs, 1, {take}), 0L, (a, d) -> a + d - 1)"
+        ways.append(f"if({asked} <= least({o}, n div 20 + 1), named_struct('cost', {scan} * {1 + VERIFY_COST / asked**2}D, 'asked', {asked}), null)")
+    best = sets.withColumn("best", F.expr(f"array_min(array_compact(array({', '.join(ways)})))"))
+    prefix = F.expr(f"slice(tokens, 1, size(tokens) - {o} + best.asked)")
+    return best.select("cls", "n", F.col("best.asked").alias("asked"), prefix.alias("prefix"), "tokens", F.size("tokens").alias("r"))
 
 
 def _blocks(count: Column) -> Column:
     return F.greatest(F.ceil(count / BLOCK), F.lit(1)).cast("int")
 
 
-def verified(sets: DataFrame, left: DataFrame, right: DataFrame, first_only: bool) -> DataFrame:
-    """Links (a, b) between what stands on the ``left`` and on the ``right`` of each ``job``.
+def verified(sets: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """For each class on the ``right`` of a ``job`` its first link (a, b) with each block on the ``left``.
 
     Both have job and cls. A job's sides are cut into blocks of about BLOCK
     classes, and each pair of blocks is a task of its own.
@@ -189,24 +179,45 @@ def verified(sets: DataFrame, left: DataFrame, right: DataFrame, first_only: boo
                 at = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
                 shared = np.bincount(owner[at], minlength=len(lf))
                 linked = np.flatnonzero((SIMILARITY[1] * shared >= SIMILARITY[0] * (ln + n - shared)) & (lc != cls))
-                out += [(int(lc[i]), cls) for i in (linked[:1] if first_only else linked)]
+                out += [(int(lc[i]), cls) for i in linked[:1]]
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     return lefts.groupBy("job", "l", "r").cogroup(rights.groupBy("of_job", "of_l", "of_r")).applyInPandas(pairs, "a long, b long")
 
 
-def led(sets: DataFrame, turn: int) -> DataFrame:
-    """Candidates (job: a leader, cls): each class with the leaders that it meets most in this turn."""
-    postings = sets.select("cls", F.explode("prefix").alias("token"))
+def reachable(nx: str, rx: str, ny: str, ry: str) -> Column:
+    """Whether two sets of sizes n of which r may be shared can be similar enough."""
+    return F.expr(f"{SIMILARITY[0]} * ({nx} + {ny}) <= {sum(SIMILARITY)} * least({rx}, {ry})")
+
+
+def led(sets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
+    """Candidates (cls, leader) in different components: each class with the leaders that it meets most.
+
+    In the first turn those with the fewest tokens of their own lead, which are
+    nearest to what a group was copied from; later ones are drawn.
+    """
+    own = sets.join(labels, "cls")
+    postings = own.select("cls", "component", "n", "r", F.explode("prefix").alias("token"))
     drawn = F.xxhash64("cls", F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(LEADERS)), F.lit(turn))
-    leaders = postings.groupBy("token").agg(F.min_by("cls", drawn).alias("job"), F.count("*").alias("size")).where("size > 1").select("token", "job")
-    met = postings.join(leaders, "token").where("cls <> job").groupBy("cls", "job").agg(F.count("*").alias("met"))
-    best = Window.partitionBy("cls").orderBy(F.desc("met"), F.xxhash64("job"))
-    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("job", "cls")
+    rank = F.struct((F.col("n") - F.col("r")) / F.col("n"), "cls") if turn == 0 else F.struct(drawn, "cls")
+    tops = postings.groupBy("token").agg(F.min_by(F.struct("cls", "component", "n", "r"), rank).alias("top"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    leaders = tops.select("token", F.col("top.cls").alias("leader"), F.col("top.component").alias("of"), F.col("top.n").alias("ln"), F.col("top.r").alias("lr"))
+    met = postings.join(leaders, "token").where((F.col("component") != F.col("of")) & reachable("n", "r", "ln", "lr")).groupBy("cls", "leader").agg(F.count("*").alias("met"))
+    best = Window.partitionBy("cls").orderBy(F.desc("met"), F.xxhash64("leader"))
+    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= (1 if turn == 0 else LEADERS)).select("cls", "leader")
+
+
+def linked_leaders(sets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The candidates (a, b) that link."""
+    own = sets.select("cls", "n", "tokens")
+    lead = own.select(F.col("cls").alias("leader"), F.col("n").alias("ln"), F.col("tokens").alias("lt"))
+    both = candidates.join(own, "cls").join(lead, "leader").withColumn("shared", F.size(F.array_intersect("tokens", "lt")))
+    return both.where(F.expr(f"{SIMILARITY[1]} * shared >= {SIMILARITY[0]} * (n + ln - shared)")).select(F.col("cls").alias("a"), F.col("leader").alias("b"))
 
 
-def components(spark: SparkSession, links: DataFrame) -> tuple[DataFrame, str]:
+def components(links: DataFrame) -> DataFrame:
     """cls and component (its least cls) of every class in ``links`` (a, b)."""
+    spark = links.sparkSession
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges, edge_path = write_table(both, "links")
     labels, path = write_table(edges.groupBy(F.col("a").alias("cls")).agg(F.least("a", F.min("b")).alias("component")), "labels")
@@ -221,19 +232,28 @@ def components(spark: SparkSession, links: DataFrame) -> tuple[DataFrame, str]:
         labels, path = new.select("cls", "component"), new_path
         if not changed:
             remove(spark, edge_path)
-            return labels, path
+            return labels
+
+
+def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (cls, component) with the components that ``links`` (a, b) join made one."""
+    of = lambda c: labels.select(F.col("cls").alias(c), F.col("component").alias(f"{c}_of"))
+    joined = links.join(of("a"), "a").join(of("b"), "b").where("a_of <> b_of").select(F.col("a_of").alias("a"), F.col("b_of").alias("b"))
+    up = components(joined).select(F.col("cls").alias("component"), F.col("component").alias("above"))
+    new, _ = write_table(labels.join(up, "component", "left").select("cls", F.coalesce("above", "component").alias("component")), "contracted")
+    return new
 
 
 def between(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both sides (job, cls) of the pairs of components that still may link."""
-    own = sets.select("cls", "asked", "prefix").join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    own = sets.join(labels, "cls")
     members = own.select("cls", "component")
     sizes = own.groupBy("component").agg(F.count("*").alias("size"), F.min("asked").alias("asked"))
-    postings = own.select("component", F.explode("prefix").alias("token")).distinct()
+    postings = own.select("component", "n", "r", F.explode("prefix").alias("token")).groupBy("component", "token").agg(F.min("n").alias("n"), F.max("r").alias("r"))
     open_tokens = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     some = postings.join(open_tokens, "token")
-    x, y = some.withColumnRenamed("component", "x"), some.withColumnRenamed("component", "y")
-    pairs = x.join(y, "token").where("x < y").groupBy("x", "y").agg(F.count("*").alias("met"))
+    x, y = (some.select("token", F.col("component").alias(c), F.col("n").alias(f"{c}n"), F.col("r").alias(f"{c}r")) for c in "xy")
+    pairs = x.join(y, "token").where((F.col("x") < F.col("y")) & reachable("xn", "xr", "yn", "yr")).groupBy("x", "y").agg(F.count("*").alias("met"))
     sx = sizes.select(F.col("component").alias("x"), F.col("size").alias("nx"), F.col("asked").alias("ax"))
     sy = sizes.select(F.col("component").alias("y"), F.col("size").alias("ny"), F.col("asked").alias("ay"))
     enough = pairs.join(sx, "x").join(sy, "y").where("met >= least(ax, ay)")
@@ -243,8 +263,8 @@ def between(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     return jobs.select("job").distinct().join(members.withColumnRenamed("component", "job"), "job").select("job", "cls"), queries
 
 
-def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame | None:
-    """cls and component of every class that links with another."""
+def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
+    """cls and component of every class that may link with another."""
     spark = docs.sparkSession
     stay, _ = write_table(staying(sketched), "staying")
     full, full_path = write_table(whole_sets(docs, stay), "sets")
@@ -253,17 +273,14 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame | None:
     sets, _ = write_table(with_prefixes(kept), "prefixes")
     remove(spark, kept_path)
 
-    found = None
-    for turn in range(ROUNDS):
-        candidates, _ = write_table(led(sets, turn), "candidates")
-        leaders = candidates.select("job").distinct().select("job", F.col("job").alias("cls"))
-        some, _ = write_table(verified(sets, leaders, candidates, False), "links")
-        found = some if found is None else found.union(some)
-    labels, _ = components(spark, found)
+    labels = sets.select("cls", F.col("cls").alias("component"))
+    for turn in range(TURNS):
+        candidates, _ = write_table(led(sets, labels, turn), "candidates")
+        found, _ = write_table(linked_leaders(sets, candidates), "links")
+        labels = contracted(labels, found)
     larger, smaller = between(sets, labels)
-    more, _ = write_table(verified(sets, larger, smaller, True), "links")
-    labels, _ = components(spark, found.union(more))
-    return labels
+    found, _ = write_table(verified(sets, larger, smaller), "links")
+    return contracted(labels, found)
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:

@@ -119,7 +119,8 @@ def suffixes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
 
         return each_doc
 
-    texts = docs.select("doc_id", "text").join(asked.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "places", "text")
+    # what is asked for grows with the input, so it is never broadcast
+    texts = docs.select("doc_id", "text").join(asked.hint("merge").withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "places", "text")
     return map_rows(texts, make, StructType.fromDDL(SUFFIX)).dropDuplicates(["key", "cls", "before", "after"])
 
 
