@@ -72,13 +72,15 @@ class UnitEncoder:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        row = [u for u in new if not self.apart.search(u)]
+        search = self.apart.search
+        row = [u for u in new if search(u) is None]
         ids = np.asarray(self.tok.encode_batch_fast([self.between.join(row)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(ids == self.mark)
         if row and len(ends) == len(row) - 1:
             raw, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
             self.memo.update(zip(row, map(raw.__getitem__, map(slice, [c + 4 for c in cuts], cuts[1:])), strict=False))
-        self.memo.update((u, self._whole(u)) for u in new if u not in self.memo)
+            new = set(new).difference(row) if len(row) < len(new) else ()
+        self.memo.update((u, self._whole(u)) for u in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.units is None:
@@ -88,7 +90,7 @@ class UnitEncoder:
         cut = [self.units.findall(t) for t in texts]
         memo = self.memo
         units = set().union(*cut)
-        new = [u for u in units if u not in memo]
+        new = list(units.difference(memo))
         if new:
             self._learn(new)
         out = [b"".join(map(memo.__getitem__, us)) for us in cut]
