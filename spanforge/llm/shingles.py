@@ -47,9 +47,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in a row, and where each text's begin (one more than texts)."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+#: Bytes that are hashed at a time; longer texts are cut between words.
+BYTES = 1 << 20
+
+
+def _hashed(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in a row, and how many each has."""
     data = np.frombuffer(b" " + b" ".join(raw) + b" ", np.uint8)
     blank = BLANK[data]
     edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
@@ -59,7 +62,47 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_values()[data] * up[: len(data)], out=sums[1:])
     h = mix((sums[ends] - sums[starts]) * down[starts])
     begins = 1 + np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])])
-    return h, np.searchsorted(starts, begins)
+    return h, np.diff(np.searchsorted(starts, begins))
+
+
+def _cut(raw: bytes) -> list[bytes]:
+    """Pieces of about BYTES that end between words."""
+    out = []
+    while len(raw) > BYTES:
+        at = BYTES
+        while at < len(raw) and not BLANK[raw[at]]:
+            at += 1
+        out.append(raw[:at])
+        raw = raw[at:]
+    return [*out, raw]
+
+
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words in a row, and where each text's begin (one more than texts)."""
+    parts = [np.zeros(0, np.uint64)]
+    counts = np.zeros(len(texts), np.int64)
+    group: list[bytes] = []
+    of: list[int] = []
+    size = 0
+
+    def flush():
+        h, n = _hashed(group)
+        parts.append(h)
+        np.add.at(counts, of, n)
+        group.clear()
+        of.clear()
+
+    for i, t in enumerate(texts):
+        for piece in _cut((t or "").encode("utf-8", "surrogatepass")):
+            group.append(piece)
+            of.append(i)
+            size += len(piece)
+            if size >= BYTES:
+                flush()
+                size = 0
+    if group:
+        flush()
+    return np.concatenate(parts), np.concatenate([[0], np.cumsum(counts)])
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
