@@ -15,8 +15,8 @@ documents keep, hold at least l of the shared ones, and so do y's.
 3. Every prefix shingle has a leader, and in some turns classes are verified
    against leaders that they meet most. A group of near copies becomes one
    component with work in proportion to its size.
-4. Between components every pair with enough matches, and with enough shingles
-   that can be shared for their sizes, is verified, in blocks of bounded size,
+4. Between components every pair with enough matches, at places that leave enough
+   shingles to be shared, is verified, in blocks of bounded size,
    until a link is found. Within a component nothing is left to do.
 
 Documents without words have no shingles and are linked with nothing; fewer
@@ -42,7 +42,7 @@ from .shingles import shingle_sets
 SHINGLE = 5
 SIMILARITY = (75, 100)
 LEADERS = 4
-TURNS = 2
+TURNS = 3
 BLOCK = 256
 #: Cost of verifying a candidate against that of meeting it, for the choice of l.
 VERIFY_COST = 8
@@ -185,9 +185,18 @@ def verified(sets: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return lefts.groupBy("job", "l", "r").cogroup(rights.groupBy("of_job", "of_l", "of_r")).applyInPandas(pairs, "a long, b long")
 
 
-def reachable(nx: str, rx: str, ny: str, ry: str) -> Column:
-    """Whether two sets of sizes n of which r may be shared can be similar enough."""
-    return F.expr(f"{SIMILARITY[0]} * ({nx} + {ny}) <= {sum(SIMILARITY)} * least({rx}, {ry})")
+def aligned(x: str, y: str) -> Column:
+    """Whether two sets that share a token at these places can share enough.
+
+    ``p`` is the most tokens before it and ``q`` the most after it, and the
+    shared ones are on the same side in both.
+    """
+    return F.expr(f"{SIMILARITY[0]} * ({x}n + {y}n) <= {sum(SIMILARITY)} * (least({x}p, {y}p) + 1 + least({x}q, {y}q))")
+
+
+def placed_prefixes(sets: DataFrame, *columns: str) -> DataFrame:
+    """A row for each prefix token, with the tokens before (p) and after it (q) in the reduced set."""
+    return sets.select(*columns, "n", "r", F.posexplode("prefix").alias("p", "token")).withColumn("q", F.col("r") - 1 - F.col("p"))
 
 
 def led(sets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
@@ -197,14 +206,15 @@ def led(sets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     nearest to what a group was copied from; later ones are drawn.
     """
     own = sets.join(labels, "cls")
-    postings = own.select("cls", "component", "n", "r", F.explode("prefix").alias("token"))
+    postings = placed_prefixes(own, "cls", "component")
     drawn = F.xxhash64("cls", F.pmod(F.xxhash64("token", F.lit(turn)), F.lit(LEADERS)), F.lit(turn))
     rank = F.struct((F.col("n") - F.col("r")) / F.col("n"), "cls") if turn == 0 else F.struct(drawn, "cls")
-    tops = postings.groupBy("token").agg(F.min_by(F.struct("cls", "component", "n", "r"), rank).alias("top"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
-    leaders = tops.select("token", F.col("top.cls").alias("leader"), F.col("top.component").alias("of"), F.col("top.n").alias("ln"), F.col("top.r").alias("lr"))
-    met = postings.join(leaders, "token").where((F.col("component") != F.col("of")) & reachable("n", "r", "ln", "lr")).groupBy("cls", "leader").agg(F.count("*").alias("met"))
+    tops = postings.groupBy("token").agg(F.min_by(F.struct("cls", "component", "n", "p", "q"), rank).alias("top"), F.min("component").alias("a"), F.max("component").alias("b")).where("a < b")
+    leaders = tops.select("token", F.col("top.cls").alias("leader"), F.col("top.component").alias("of"), F.col("top.n").alias("ln"), F.col("top.p").alias("lp"), F.col("top.q").alias("lq"))
+    mine = postings.withColumnsRenamed({c: f"m{c}" for c in "npq"})
+    met = mine.join(leaders, "token").where((F.col("component") != F.col("of")) & aligned("m", "l")).groupBy("cls", "leader").agg(F.count("*").alias("met"))
     best = Window.partitionBy("cls").orderBy(F.desc("met"), F.xxhash64("leader"))
-    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= (1 if turn == 0 else LEADERS)).select("cls", "leader")
+    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("cls", "leader")
 
 
 def linked_leaders(sets: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -249,11 +259,11 @@ def between(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = sets.join(labels, "cls")
     members = own.select("cls", "component")
     sizes = own.groupBy("component").agg(F.count("*").alias("size"), F.min("asked").alias("asked"))
-    postings = own.select("component", "n", "r", F.explode("prefix").alias("token")).groupBy("component", "token").agg(F.min("n").alias("n"), F.max("r").alias("r"))
+    postings = placed_prefixes(own, "component").groupBy("component", "token").agg(F.min("n").alias("n"), F.max("p").alias("p"), F.max("q").alias("q"))
     open_tokens = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
     some = postings.join(open_tokens, "token")
-    x, y = (some.select("token", F.col("component").alias(c), F.col("n").alias(f"{c}n"), F.col("r").alias(f"{c}r")) for c in "xy")
-    pairs = x.join(y, "token").where((F.col("x") < F.col("y")) & reachable("xn", "xr", "yn", "yr")).groupBy("x", "y").agg(F.count("*").alias("met"))
+    x, y = (some.select("token", F.col("component").alias(c), *[F.col(v).alias(f"{c}{v}") for v in "npq"]) for c in "xy")
+    pairs = x.join(y, "token").where((F.col("x") < F.col("y")) & aligned("x", "y")).groupBy("x", "y").agg(F.count("*").alias("met"))
     sx = sizes.select(F.col("component").alias("x"), F.col("size").alias("nx"), F.col("asked").alias("ax"))
     sy = sizes.select(F.col("component").alias("y"), F.col("size").alias("ny"), F.col("asked").alias("ay"))
     enough = pairs.join(sx, "x").join(sy, "y").where("met >= least(ax, ay)")
