@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import remove, write_table
+from ..shared import release, remove, write_table
 from .common import map_rows
 from .shingles import shingle_sets
 
@@ -214,7 +214,7 @@ def led(sets: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
     mine = postings.withColumnsRenamed({c: f"m{c}" for c in "npq"})
     met = mine.join(leaders, "token").where((F.col("component") != F.col("of")) & aligned("m", "l")).groupBy("cls", "leader").agg(F.count("*").alias("met"))
     best = Window.partitionBy("cls").orderBy(F.desc("met"), F.xxhash64("leader"))
-    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= LEADERS).select("cls", "leader")
+    return met.withColumn("place", F.row_number().over(best)).where(F.col("place") <= (1 if turn == 0 else LEADERS)).select("cls", "leader")
 
 
 def linked_leaders(sets: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -277,6 +277,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """cls and component of every class that may link with another."""
     spark = docs.sparkSession
     stay, _ = write_table(staying(sketched), "staying")
+    release(spark)
     full, full_path = write_table(whole_sets(docs, stay), "sets")
     kept, kept_path = write_table(reduced(full), "reduced")
     remove(spark, full_path)
@@ -288,6 +289,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         candidates, _ = write_table(led(sets, labels, turn), "candidates")
         found, _ = write_table(linked_leaders(sets, candidates), "links")
         labels = contracted(labels, found)
+        release(spark)
     larger, smaller = between(sets, labels)
     found, _ = write_table(verified(sets, larger, smaller), "links")
     return contracted(labels, found)
