@@ -9,6 +9,7 @@ in tests on one machine, a temporary folder is made for the session.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -41,8 +42,15 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFram
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the driver notice which shuffles nothing refers to any more; Spark then deletes their files everywhere."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that is no longer read."""
+    """Deletes a table that is no longer read, and what finished jobs left in shuffle files."""
+    release(spark)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
