@@ -12,7 +12,8 @@ COMPLEMENTS = "TGCAKYSBWRDMHVN="
 
 def reverse_complement(seq: Column) -> Column:
     """Reverse complement in upper case; letters outside IUPAC become N."""
-    known = F.regexp_replace(F.upper(seq), f"[^{LETTERS}]", "N")
+    lower = LETTERS.lower()
+    known = F.regexp_replace(F.translate(seq, lower, LETTERS), f"[^{LETTERS}]", "N")
     return F.translate(F.reverse(known), LETTERS, COMPLEMENTS)
 
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,14 +44,18 @@ def write_table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFram
 
 
 def release(spark: SparkSession) -> None:
-    """Lets the driver notice which shuffles nothing refers to any more; Spark then deletes their files everywhere."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets the driver notice which shuffles nothing refers to any more; Spark then deletes their files everywhere.
+
+    A job's last event still refers to its plan until all listeners have seen it, so the driver looks twice.
+    """
+    for pause in (0.5, 0.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a table that is no longer read, and what finished jobs left in shuffle files."""
-    release(spark)
+    """Deletes a table that is no longer read."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
