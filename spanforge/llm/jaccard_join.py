@@ -94,6 +94,7 @@ def staying(sketched: DataFrame) -> DataFrame:
     postings = sketched.where("prefix is not null").select("cls", F.explode(F.slice("prefix", 1, (F.col("n") - o + asked).cast("int"))).alias("token"))
     whole = sketched.where("prefix is not null").select("cls", F.explode("prefix").alias("token"))
     shared = whole.groupBy("token").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("token")
+    shared, _ = write_table(shared, "shared-tokens")  # read anew, so that a join on a frequent token can be split
     met = postings.join(shared, "token").groupBy("cls").agg(F.count("*").alias("met"))
     return met.join(classes, "cls").where(F.expr("met >= given * (n div 20 + 1)")).select("cls", "rep")
 
@@ -122,6 +123,7 @@ def reduced(sets: DataFrame) -> DataFrame:
     """cls, n, tokens without those that one class has alone, and their counts, the rarest first, of the classes that can still link."""
     postings = sets.select("cls", "n", F.explode("tokens").alias("token"))
     counts = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    counts, _ = write_table(counts, "token-counts")
     own = postings.join(counts, "token").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     return own.where(F.size("t") >= F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1])).select("cls", "n", F.col("t.token").alias("tokens"), F.col("t.df").alias("dfs"))
 
@@ -281,6 +283,7 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     full, full_path = write_table(whole_sets(docs, stay), "sets")
     kept, kept_path = write_table(reduced(full), "reduced")
     remove(spark, full_path)
+    release(spark)
     sets, _ = write_table(with_prefixes(kept), "prefixes")
     remove(spark, kept_path)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import remove, write_table
+from ..shared import release, remove, write_table
 from .common import map_rows
 from .shingles import grams, word_hashes
 
@@ -92,6 +92,7 @@ def suffixes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     """The suffixes that may repeat in another class, with REACH words to each side as 32-bit hashes, the nearest first."""
     each = sketched.where("keys is not null").select("cls", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("cls", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     shared = each.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("key")
+    shared, _ = write_table(shared, "suffix-keys")  # read anew, so that a join on a frequent key can be split
     places = each.join(shared, "key").groupBy("cls").agg(F.array_sort(F.collect_set("place")).alias("places"))
     rep = sketched.where("keys is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     asked = places.join(rep, "cls")
@@ -250,6 +251,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     sketched, _ = write_table(sketch(docs), "suffix-sketch")
     found, path = write_table(suffixes(docs, sketched), "suffixes")
+    release(docs.sparkSession)
     n = found.count()
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // SORTED_ROWS))
     spans = neighbours(found, ["after", "before"], parts).union(neighbours(found, ["before", "after"], parts))
