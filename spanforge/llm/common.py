@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from .tokens import forget
+
 #: Rows that are handled together in Python, whatever the size of the Arrow batch.
 ROWS = 500
 
@@ -17,17 +19,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]], schema: StructType) -> DataFrame:
+def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]], schema: StructType, tokenizes: bool = False) -> DataFrame:
     """``mapInArrow`` over lists of column values.
 
     ``make()`` runs once in each task and returns a function from the columns
     of up to ROWS rows (as lists) to the columns of any number of output rows.
+    Workers live on from task to task; where ``make`` doesn't tokenize, what an
+    earlier task remembered of its tokens is let go.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     out = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not tokenizes:
+            forget()
         each = make()
         gc.disable()  # the many lists of words hold no cycles; what else might is collected batch by batch
         for batch in batches:

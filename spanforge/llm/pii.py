@@ -33,6 +33,7 @@ from pyspark.sql.types import StringType, StructType
 
 from .boosting import Boosted
 from .common import map_rows
+from .tokens import forget
 
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -310,6 +311,7 @@ def redact(docs: DataFrame, text: str = "text", trained: Model | None = None) ->
 
     @F.pandas_udf(StringType())
     def redacted(col: pd.Series) -> pd.Series:
+        forget()
         return col.map(clean, na_action="ignore")
 
     return docs.withColumn(text, redacted(text))

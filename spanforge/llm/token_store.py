@@ -150,7 +150,7 @@ def write_store(
                     seen.add(name)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    cut = map_rows(docs.select("doc_id", "text"), cutter, schema)
+    cut = map_rows(docs.select("doc_id", "text"), cutter, schema, tokenizes=True)
     dealt = cut.repartition(F.xxhash64("name", "doc_id", "root"))
     dealt.mapInArrow(once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/dealt")
 

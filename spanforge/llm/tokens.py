@@ -113,6 +113,11 @@ def encoder_of(path: str) -> UnitEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Lets this process's encoders and what they remember go."""
+    _encoders.clear()
+
+
 def encoded(texts: list[str | None], encoder: UnitEncoder):
     """Yields the ids of each text in order, encoding a bounded number of characters at a time."""
     group: list[str] = []
