@@ -309,3 +309,19 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of_class = grouped.join(least, "component").select(F.col("cls").alias("row_cls"), "component_id")
     out = own.join(of_class, "row_cls", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+#: The rows of op7 in DuckDB's SQL.
+SQL = r"""
+with recursive d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct r, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') as g from d, unnest(range(1, greatest(len(w) - 3, 2))) u(i) where len(w) > 0),
+n as (select r, count(*) as n from s group by r),
+c as (select g from s group by g having count(*) > 1),
+k as (select * from s semi join c using (g)),
+p as (select a.r as x, b.r as y, count(*) as m from k a join k b on a.g = b.g and a.r < b.r group by 1, 2),
+e as materialized (select x, y from p join n a on a.r = x join n b on b.r = y where 100 * m >= 75 * (a.n + b.n - m)),
+t as materialized (select x, y from e union all select y, x from e),
+reach as (select r, r as z from n union select reach.r, t.y from reach join t on t.x = reach.z),
+m as (select reach.r, min(d.doc_id) as component from reach join d on d.r = reach.z group by reach.r)
+select doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, case when n.n is null then doc_id else component end as component_id from d left join n using (r) left join m using (r)
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import credentials, perspectives, winnow
+from . import credentials, jaccard_join, perspectives, rules, suffixes, winnow
 from .common import table
 from .credentials import find_secrets
 from .jaccard_join import jaccard_components
@@ -60,4 +60,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_store, op2_pii, op3_quality_classifier, op4_packing, op5_secret_scan, op6_suffix_arrays, op7_jaccard_join, op8_perspectives, op9_quality_rules, op10_decontamination)}
 #: Where SQL can't give a query's rows they are tested against brute force instead.
-SQL = {"op5_secret_scan": credentials.SQL, "op8_perspectives": perspectives.SQL, "op10_decontamination": winnow.SQL}
+SQL = {
+    "op5_secret_scan": credentials.SQL,
+    "op6_suffix_arrays": suffixes.SQL,
+    "op7_jaccard_join": jaccard_join.SQL,
+    "op8_perspectives": perspectives.SQL,
+    "op9_quality_rules": rules.SQL,
+    "op10_decontamination": winnow.SQL,
+}

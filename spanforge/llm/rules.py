@@ -160,3 +160,21 @@ def apply_rules(docs: DataFrame, order: list[str] | None = None, statistics: boo
     schema = StructType.fromDDL(VERDICT)
     names = schema.names
     return map_rows(docs.select("doc_id", "text"), make, schema)
+
+
+#: The rows of op9 in DuckDB's SQL.
+SQL = r"""
+with d as materialized (select row_number() over () as r, doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from d, unnest(range(1, len(w) - 1)) u(i)),
+o as (select r, i from (select *, count(*) over (partition by r, g) as c from g) where c > 1),
+p as (select r, count(distinct i + k) as n from o, (values (0), (1), (2)) v(k) group by r),
+l as (select r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+s as (
+  select d.r, doc_id, len(w) as n, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as c, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as y,
+    len(l) as k, len(l) - len(list_distinct(l)) as u, coalesce(p.n, 0) as q, len(regexp_extract_all(t, '\p{L}')) as a, len(regexp_extract_all(t, '\p{Lu}')) as b
+  from d join l using (r) left join p using (r)),
+v as (select *, n < 50 or 100 * q > 50 * n as f from s)
+select doc_id, cast(n as bigint) as n_words, cast(c as bigint) as word_chars, cast(y as bigint) as n_symbols, cast(u as bigint) as n_dup_lines, cast(q as bigint) as n_repeat_words, f as base_failed,
+  not (f or 100 * y > 6 * c or k >= 4 and 100 * u > 50 * k or a >= 40 and 100 * b > 50 * a or c > 20 * n or c < 2 * n) as kept
+from v
+"""

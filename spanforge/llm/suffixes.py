@@ -268,3 +268,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         "doc_id", "n_words", F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x[1] - x[0]).alias("n_repeated"), F.size("s").cast("long").alias("n_passages"),
         F.array_join(F.transform("s", lambda x: F.concat_ws(":", x[0], x[1])), ",").alias("passages"),
     )
+
+
+#: The rows of op6 in DuckDB's SQL.
+SQL = r"""
+with d as materialized (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+v as materialized (select r, i, md5(array_to_string(w[i:i + 49], ' ')) as g from d, unnest(range(1, len(w) - 48)) u(i)),
+c as (select g from v group by g having min(r) < max(r)),
+o as (select r, i, lag(i) over (partition by r order by i) as p from v semi join c using (g)),
+s as (select *, sum(case when p is null or i > p + 50 then 1 else 0 end) over (partition by r order by i) as k from o),
+x as (select r, k, min(i) - 1 as a, max(i) + 49 as z from s group by r, k),
+a as (select r, sum(z - a) as n, count(*) as m, string_agg(a || ':' || z, ',' order by a) as t from x group by r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_repeated, cast(coalesce(m, 0) as bigint) as n_passages, coalesce(t, '') as passages from d left join a using (r)
+"""
