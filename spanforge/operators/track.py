@@ -195,6 +195,11 @@ class Track:
         return self.runs().where("value is not null")
 
 
+def as_bed6(track: Track) -> DataFrame:
+    """A track's runs as BED6 rows: no name, and the rounded value as score."""
+    return track.as_ranges().select("seqname", "start", "end", "strand", F.lit(".").alias("name"), F.round("value").cast("long").alias("score"))
+
+
 def clean(c: Column) -> Column:
     """NaN as null."""
     return F.nanvl(c.cast("double"), F.lit(None).cast("double"))

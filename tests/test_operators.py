@@ -121,6 +121,28 @@ def test_empty_tracks(spark):
     assert values(track(spark, [1.0, None]).to_quantiles()) == [1.0, None]
 
 
+def test_genome_and_meta(spark):
+    from spanforge.operators import genome, meta
+
+    g = spark.createDataFrame([("a", 10, 0), ("b", 5, 1)], "seqname string, length long, ord long")
+    more = genome.add_sequence(g, "c", 7)
+    assert genome.total_length(more).first().total == 22 and genome.sequence_length(more, "c") == 7
+    with pytest.raises(ValueError, match="known"):
+        genome.add_sequence(g, "a", 1)
+    t = iv(spark, [("c", 1, 2), ("c", 3, 4)])
+    v = spark.createDataFrame([(0, "x"), (1, "y")], "row_id long, value string")
+    assert [r.n for r in meta.add(t, "n", v).orderBy("row_id").collect()] == ["x", "y"]
+    with pytest.raises(Exception, match="another length"):
+        meta.add(t, "n", v.where("row_id = 0")).collect()
+    full = meta.rename(meta.add(t, "k", F.lit(3)), {"k": "m"})
+    assert meta.meta_columns(full) == ["m"] and meta.column(full, "m", "string") is None and meta.meta_columns(meta.delete(full, "m", "start")) == []
+
+
+def test_track_as_bed(spark):
+    got = T.as_bed6(track(spark, [1.6, 1.6, None, 3.0])).orderBy("start").collect()
+    assert [(r.start, r.end, r.name, r.score) for r in got] == [(0, 20, ".", 2), (30, 40, ".", 3)]
+
+
 def test_track_access(spark):
     t = track(spark, [1.0, 2.0, 3.0, 4.0], 100)
     assert t.at("c", 399).first().value == 4.0 and [r.value for r in t.slice("c", 150, 399).orderBy("bin").collect()] == [2.0, 3.0]
