@@ -78,7 +78,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, in_plan: int = IN_PLAN, bro
     if size.n <= broadcast_windows:
         by_window = F.broadcast(by_window)
 
-    own = fingerprints(docs.select("doc_id", words(F.col("text")).alias("words")))
+    # rows are numbered where they are read, so that a task that runs again gives the same numbers
+    own = fingerprints(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words(F.col("text")).alias("words")))
     for n in size.lengths:
         own = own.withColumnRenamed("marks", f"marks{n}") if n == WINDOW else own.withColumn(f"marks{n}", short_marks(n))
     if size.marks <= in_plan:
@@ -90,7 +91,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, in_plan: int = IN_PLAN, bro
         own = _met(own, windows, size.lengths)
         starts = {n: F.expr(f"array_compact(transform(marks{n}, (x, i) -> if(array_contains(met{n}, x), i, null)))") for n in size.lengths}
     at = [_of_length(n, s, "at") for n, s in starts.items()]
-    own = own.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), "words", (F.concat(*at) if at else F.expr("array(named_struct('length', 0, 'at', 0))")).alias("hits"))
+    own = own.select("row", "doc_id", F.size("words").cast("long").alias("n_words"), "words", (F.concat(*at) if at else F.expr("array(named_struct('length', 0, 'at', 0))")).alias("hits"))
     hit = own.select("row", "doc_id", "n_words", F.expr("explode_outer(transform(hits, h -> struct(h.length, h.at, array_join(slice(words, h.at + 1, h.length), ' ') as window))) as hit")).select("row", "doc_id", "n_words", "hit.*")
     met = hit.join(by_window, ["length", "window"], "left")
     each = met.groupBy("row", "doc_id", "n_words").agg(
