@@ -17,6 +17,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+#: Tables of this session that were not removed yet.
+_made: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/spanforge/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/spanforge/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
 
 
 def write_table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
@@ -56,6 +60,13 @@ def release(spark: SparkSession) -> None:
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a table that is no longer read."""
+    _made.discard(path)
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session wrote; what reads them can't run any more."""
+    for path in list(_made):
+        remove(spark, path)
