@@ -39,7 +39,8 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(table(spark, sf_dir, "documents"))
+    """The documents that hold passages which others hold too."""
+    return repeated_passages(table(spark, sf_dir, "documents")).where("n_passages > 0")
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,5 +279,5 @@ o as (select r, i, lag(i) over (partition by r order by i) as p from v semi join
 s as (select *, sum(case when p is null or i > p + 50 then 1 else 0 end) over (partition by r order by i) as k from o),
 x as (select r, k, min(i) - 1 as a, max(i) + 49 as z from s group by r, k),
 a as (select r, sum(z - a) as n, count(*) as m, string_agg(a || ':' || z, ',' order by a) as t from x group by r)
-select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n, 0) as bigint) as n_repeated, cast(coalesce(m, 0) as bigint) as n_passages, coalesce(t, '') as passages from d left join a using (r)
+select doc_id, cast(len(w) as bigint) as n_words, cast(n as bigint) as n_repeated, m as n_passages, t as passages from d join a using (r)
 """
