@@ -26,7 +26,7 @@ SPAN = 6
 WINDOW = GRAM + SPAN - 1
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fingerprints of the items that may stand in the plan; more are joined.
-IN_PLAN = 20_000
+IN_PLAN = 5_000
 #: Windows of the items that may be broadcast, about 100 bytes each; more are shuffled.
 BROADCAST_WINDOWS = 100_000
 
@@ -110,11 +110,23 @@ def _of_length(n: int, values: Column, name: str) -> Column:
     return F.transform(values, lambda x: F.struct(F.lit(n).alias("length"), x.alias(name)))
 
 
+def _longs(values: list[int]) -> str:
+    """An array constant of one node, whatever its length; the optimizer folds it before anything runs."""
+    return f"cast(split('{','.join(map(str, values))}', ',') as array<bigint>)"
+
+
 def _listed(marks: str, known: list[int]) -> Column:
-    """Places of ``marks`` that are among a bounded number of ``known`` ones."""
-    inside = f"x in ({', '.join(f'{k}L' if k > -(1 << 63) else f'({k + 1}L - 1L)' for k in sorted(known))})"
-    found = f"array_compact(transform({marks}, (x, i) -> if({inside}, i, null)))"
-    return F.expr(f"if(exists({marks}, x -> {inside}), {found}, cast(array() as array<int>))")
+    """Places of ``marks`` that are among a bounded number of ``known`` ones.
+
+    A bitmap of some 128 bits for each known mark turns nearly all others away before the list is searched.
+    """
+    width = 1 << max(4, (2 * len(known)).bit_length())
+    bits = [0] * width
+    for k in known:
+        bits[k & (width - 1)] |= 1 << ((k >> 40) & 63)
+    signed = [b - (1 << 64) if b >> 63 else b for b in bits]
+    maybe = f"bit_get(element_at({_longs(signed)}, cast(x & {width - 1}L as int) + 1), cast(shiftright(x, 40) & 63L as int)) = 1"
+    return F.expr(f"array_compact(transform({marks}, (x, i) -> if({maybe} and array_contains({_longs(sorted(known))}, x), i, null)))")
 
 
 def _met(own: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
