@@ -24,8 +24,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]
 
     ``make()`` runs once in each task and returns a function from the columns
     of up to ROWS rows (as lists) to the columns of any number of output rows.
-    Workers live on from task to task; where ``make`` doesn't tokenize, what an
-    earlier task remembered of its tokens is let go.
+    Workers live on from task to task; what earlier tasks
+    remembered of their tokens is let go unless the operator tokenizes.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -54,19 +55,18 @@ class Windows:
 def packer(path: str, end_id: int, size: int, most: int):
     from pyspark import TaskContext
 
-    end = end_id.to_bytes(4, "little")
     encoder = encoder_of(path)
+    end = end_id.to_bytes(encoder.dtype.itemsize, "little")
     windows = Windows(size, most, TaskContext.get().partitionId() << 32)
 
     def each(cols: list) -> dict[str, list]:
         rows = []
         for doc, ids in zip(cols[0], encoded(cols[1], encoder), strict=True):
-            ids += end
-            n = len(ids) // 4
+            ids = np.frombuffer(ids + end, encoder.dtype).astype("<u4")
+            n = len(ids)
             for start in range(0, n, size):
-                part = ids[4 * start : 4 * (start + size)]
-                length = len(part) // 4
-                rows.append((doc, start, length, zlib.crc32(part), n, *windows.place(length), None))
+                part = ids[start : start + size]
+                rows.append((doc, start, len(part), zlib.crc32(part), n, *windows.place(len(part)), None))
         return dict(zip(COLUMNS, zip(*rows, strict=True), strict=True))
 
     def rest() -> dict[str, list]:

@@ -37,7 +37,7 @@ from pyspark.sql.types import StructType
 
 from ..shared import new_path, remove
 from .common import map_rows
-from .tokens import encoded, encoder_of, load_tokenizer, tokenizer_path
+from .tokens import UnitEncoder, encoded, encoder_of, tokenizer_path
 
 #: Ids under the rolling hash. Chunks are longer, so documents can be hashed in a row: no cut sees the one before.
 ROLL = 12
@@ -104,8 +104,8 @@ def write_store(
     """Writes ``docs`` (doc_id, text) as a store under ``path``, which all machines must reach."""
     spark = docs.sparkSession
     place = tokenizer_path(tokenizer)
-    end = end_id.to_bytes(4, "little")
-    width = 2 if load_tokenizer(place).get_vocab_size() <= 1 << 16 else 4
+    width = UnitEncoder(place).dtype.itemsize
+    end = end_id.to_bytes(width, "little")
     schema = StructType.fromDDL(CUT)
 
     def cutter():
@@ -113,11 +113,10 @@ def write_store(
 
         def each(cols):
             rows = []
-            raw = [x + end for x in encoded(cols[1], encoder)]
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            small = ids.astype(f"<u{width}").tobytes()
-            to = np.cumsum([len(x) // 4 for x in raw])
-            met = meets(ids, cut_bits)
+            raw = list(encoded(cols[1], encoder))
+            small = end.join([*raw, b""])
+            to = np.cumsum([len(x) // width + 1 for x in raw])
+            met = meets(np.frombuffer(small, encoder.dtype).astype(np.uint32), cut_bits)
             splits = np.searchsorted(met, to, "right").tolist()
             first = at = 0
             for doc, upto, split in zip(cols[0], to.tolist(), splits, strict=True):
@@ -279,7 +278,7 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
         return pd.Series(crc_before(crc.to_numpy(np.int64), 4 * after.to_numpy(np.int64)).astype(np.int64))
 
     stored = chunks(spark, path).select("name", "ids")
-    own = map_rows(stored, crcs, StructType.fromDDL("name binary, crc long, n_ids long, holds boolean"))
+    own = map_rows(stored, crcs, StructType.fromDDL("name binary, crc long, n_ids long, holds boolean"), tokenizes=True)
     met = parts(spark, path).join(own, "name", "left").select(*KEY, shifted(F.coalesce("crc", F.lit(0)), "after").alias("crc"), F.expr("coalesce(holds and n_ids = length, false)").alias("holds"))
     whole = met.groupBy(*KEY).agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_met"), F.min("holds").alias("holds"))
     return whole.select("doc_id", "start", "n_tokens", "ids_crc32", F.expr("holds and root_holds and n_met = n_parts").alias("verified"))

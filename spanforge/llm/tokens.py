@@ -57,10 +57,11 @@ def load_tokenizer(path: str):
 
 
 class UnitEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids."""
+    """Encodes texts to little-endian unsigned ids of ``dtype``: 2 bytes where the vocabulary allows, else 4."""
 
     def __init__(self, path: str):
         self.tok = load_tokenizer(path)
+        self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         name = os.path.basename(path)
         self.units = UNITS.get(name)
         if self.units is not None:
@@ -69,16 +70,17 @@ class UnitEncoder:
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
-        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
     def _learn(self, new: list[str]) -> None:
         search = self.apart.search
         row = [u for u in new if search(u) is None]
-        ids = np.asarray(self.tok.encode_batch_fast([self.between.join(row)], add_special_tokens=False)[0].ids, dtype="<u4")
+        ids = np.asarray(self.tok.encode_batch_fast([self.between.join(row)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         ends = np.flatnonzero(ids == self.mark)
         if row and len(ends) == len(row) - 1:
-            raw, cuts = ids.tobytes(), [-4, *(4 * ends).tolist(), 4 * len(ids)]
-            self.memo.update(zip(row, map(raw.__getitem__, map(slice, [c + 4 for c in cuts], cuts[1:])), strict=False))
+            k = self.dtype.itemsize
+            raw, cuts = ids.tobytes(), [-k, *(k * ends).tolist(), k * len(ids)]
+            self.memo.update(zip(row, map(raw.__getitem__, map(slice, [c + k for c in cuts], cuts[1:])), strict=False))
             new = set(new).difference(row) if len(row) < len(new) else ()
         self.memo.update((u, self._whole(u)) for u in new)
 
