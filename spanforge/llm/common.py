@@ -42,5 +42,6 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]
                 yield pa.RecordBatch.from_arrays([pa.array(got[f.name], type=f.type) for f in out], schema=out)
             gc.collect(0)
         gc.enable()
+        pa.default_memory_pool().release_unused()  # the worker lives on
 
     return df.mapInArrow(run, schema)
