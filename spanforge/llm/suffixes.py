@@ -4,11 +4,13 @@ A suffix is kept where the hash of its first ``KEY`` words is the least of
 ``SPARSE`` consecutive ones, so every passage of ``PASSAGE`` = KEY + SPARSE - 1
 words keeps the same suffix wherever it stands. Suffixes whose first words
 occur in one document only are dropped. The others are sorted over range
-partitions, by their first words and what follows, and once more by what
-precedes; each is compared with its next ``NEIGHBOURS`` on both sides, and the
-match is extended left and right word by word. The kept suffixes of a longer
-passage lie so close that what SPARSE - 1 words to each side don't reach is
-reached from the next one.
+partitions, by their first words and what follows. A passage around a kept
+suffix begins i words before it, i from 0 to SPARSE - 1, so each suffix has
+SPARSE passages, and each of them is hashed and looked for among all suffixes
+of the same first words: in the task for those that stand in one partition,
+else by a join on the hash, to which a task gives of each passage only what it
+couldn't settle itself. Nothing is capped, and the kept suffixes of a longer
+passage lie so close that what one doesn't reach is reached from the next.
 
 Words are those of the shingles (A-Z lower-cased). A passage counts when two
 documents share at least PASSAGE words in a row. Documents of equal words are
@@ -37,7 +39,8 @@ KEY = 20
 SPARSE = 31
 PASSAGE = KEY + SPARSE - 1
 REACH = SPARSE - 1
-NEIGHBOURS = 6
+#: Suffixes of one key that are held at once; the passages of more are met by a join.
+RUN = 10_000
 #: Suffixes in a partition of the sort, at least.
 SORTED_ROWS = 2000
 
@@ -125,101 +128,107 @@ def suffixes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     return map_rows(texts, make, StructType.fromDDL(SUFFIX)).dropDuplicates(["key", "cls", "before", "after"])
 
 
-def _equal_run(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many columns from the first on are equal, row by row; zeros are edges and equal nothing."""
-    differ = (a != b) | (a == 0)
-    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
-
-
-def compared(cols: dict[str, np.ndarray], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Of the pairs of sorted rows that match over PASSAGE words: row, words before, words after, for both rows."""
-    ok = (cols["key"][first] == cols["key"][second]) & (cols["cls"][first] != cols["cls"][second])
-    first, second = first[ok], second[ok]
-    left = _equal_run(cols["before"][first], cols["before"][second])
-    right = _equal_run(cols["after"][first], cols["after"][second])
-    ok = left + KEY + right >= PASSAGE
-    return np.concatenate([first[ok], second[ok]]), np.tile(left[ok], 2), np.tile(right[ok], 2)
+def _prefixes(words: np.ndarray) -> np.ndarray:
+    """A hash of the first 0, 1, ... REACH words, row by row."""
+    h = np.zeros((len(words), REACH + 1), np.uint64)
+    for j in range(REACH):
+        x = (h[:, j] ^ words[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h[:, j + 1] = x ^ (x >> np.uint64(29))
+    return h
+
+
+def signatures(key: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and i from 0 to REACH a hash of the passage that begins i words before the key, and whether the text reaches so far."""
+    left, right = _prefixes(before), _prefixes(after)[:, ::-1]
+    i = np.arange(REACH + 1)
+    x = left * np.uint64(0xBF58476D1CE4E5B9) + right * np.uint64(0x94D049BB133111EB) + key.astype(np.int64).view(np.uint64)[:, None] + i.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    holds = (i <= (before != 0).sum(1)[:, None]) & (REACH - i <= (after != 0).sum(1)[:, None])  # zeros are edges
+    return x ^ (x >> np.uint64(32)), holds
+
+
+def marked(signs: np.ndarray, holds: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where a row's passage stands in another class too; and the signatures of these passages with two of their classes."""
+    marks = np.zeros(signs.shape, bool)
+    at = np.flatnonzero(holds)
+    if not len(at):
+        return marks, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    s = signs.ravel()[at]
+    order = np.argsort(s)
+    s, at = s[order], at[order]
+    c = cls[at // signs.shape[1]]
+    first = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1])
+    low, high = np.minimum.reduceat(c, first), np.maximum.reduceat(c, first)
+    more = low < high
+    marks.ravel()[at] = np.repeat(more, np.diff(np.append(first, len(s))))
+    return marks, s[first][more], low[more], high[more]
 
 
 SPAN = "cls long, start int, end int"
 
 
-def _columns(batch: pa.RecordBatch) -> dict:
-    fixed = lambda c: np.frombuffer(b"".join(c.to_pylist()), np.uint32).reshape(len(c), REACH)
-    return {"key": batch.column("key").to_numpy(), "cls": batch.column("cls").to_numpy(), "before": fixed(batch.column("before")), "after": fixed(batch.column("after")), "places": batch.column("places").to_pylist()}
-
-
-def _spans(cols: dict, first: np.ndarray, second: np.ndarray) -> list[tuple[int, int, int]]:
-    found: dict[tuple[int, int], tuple[int, int]] = {}
-    for row, left, right in zip(*(x.tolist() for x in compared(cols, first, second)), strict=True):
-        for p in cols["places"][row]:
-            key = (int(cols["cls"][row]), p)
-            was = found.get(key, (0, 0))
-            found[key] = (max(was[0], left), max(was[1], right))
-    return [(cls, p - left, p + KEY + right) for (cls, p), (left, right) in found.items()]
-
-
-def _pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
-    at = [(np.arange(n - d), np.arange(d, n)) for d in range(1, min(NEIGHBOURS, n - 1) + 1)]
-    return tuple(np.concatenate(x) for x in zip(*at, strict=True)) if at else (np.zeros(0, int), np.zeros(0, int))
+def _spans(batch: pa.RecordBatch, whole: bool) -> pa.RecordBatch:
+    """Spans (cls, start, end) of passages that two classes of these rows share.
 
-
-def neighbours(found: DataFrame, order: list[str], parts: int) -> DataFrame:
-    """Spans (cls, start, end) that neighbours in the given order share."""
-    schema = StructType.fromDDL("cls long, start int, end int, border int, side int, nth int, key long, places array<int>, before binary, after binary")
+    Where the rows are not the ``whole`` runs of their keys, also the other
+    passages' spans with their signature, and each shared passage's signature
+    with two of its classes and no span.
+    """
+    fixed = lambda n: np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint32).reshape(batch.num_rows, REACH)
+    cls, listed = batch.column("cls").to_numpy(), batch.column("places")
+    lengths = listed.value_lengths().to_numpy()
+    row, place = np.repeat(np.arange(batch.num_rows), lengths), listed.flatten().to_numpy()
+    signs, holds = signatures(batch.column("key").to_numpy(), fixed("before"), fixed("after"))
+    marks, shared, low, high = marked(signs, holds, cls)
+
+    some = marks.any(1)[row]
+    r, p = row[some], place[some]
+    # both ends' passages hold the key, so what lies between them repeats too
+    cols = [[cls[r], p - (REACH - marks[:, ::-1].argmax(1)[r]), p + PASSAGE - marks.argmax(1)[r], np.zeros(len(r), np.uint64), np.zeros(len(r), bool), np.ones(len(r), bool)]]
+    if not whole:
+        n, i = np.nonzero((holds & ~marks)[row])
+        cols.append([cls[row[n]], place[n] - i, place[n] + PASSAGE - i, signs[row[n], i], np.ones(len(n), bool), np.ones(len(n), bool)])
+        for c in (low, high):
+            cols.append([c, np.zeros(len(c), np.int64), np.zeros(len(c), np.int64), shared, np.ones(len(c), bool), np.zeros(len(c), bool)])
+    cls, start, end, sign, signed, placed = (np.concatenate(x) for x in zip(*cols, strict=True))
+    values = (pa.array(cls, pa.int64()), pa.array(start.astype(np.int32), mask=~placed), pa.array(end.astype(np.int32), mask=~placed), pa.array(sign.view(np.int64), mask=~signed))
+    return pa.RecordBatch.from_arrays(list(values), names=["cls", "start", "end", "sign"])
+
+
+def shared_spans(found: DataFrame, parts: int) -> DataFrame:
+    """Spans (cls, start, end) that suffixes of one key share across classes."""
 
     def run(batches):
-        from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out = to_arrow_schema(schema)
-        place = TaskContext.get().partitionId()
-
-        def spans_of(cols, first, second):
-            rows = _spans(cols, first, second)
-            got = dict(zip(("cls", "start", "end"), zip(*rows, strict=True), strict=True)) if rows else {}
-            return pa.RecordBatch.from_arrays([pa.array(got.get(f.name, [None] * len(rows)), type=f.type) for f in out], schema=out)
-
-        def edge(batch, border, side):
-            k = batch.num_rows
-            more = {"border": [border] * k, "side": [side] * k, "nth": range(k), "start": [None] * k, "end": [None] * k}
-            return pa.RecordBatch.from_arrays([pa.array(more[f.name], type=f.type) if f.name in more else batch.column(f.name) for f in out], schema=out)
-
-        last = None  # the latest NEIGHBOURS rows
-        head: pa.Table | None = None
+        # the first and last run of equal keys may go on in another partition
+        rest, opened = None, True
         for b in batches:
             if not b.num_rows:
                 continue
-            if head is None or head.num_rows < NEIGHBOURS:
-                part = pa.Table.from_batches([b.slice(0, NEIGHBOURS - (head.num_rows if head else 0))])
-                head = part if head is None else pa.concat_tables([head, part])
-            both = b if last is None else pa.Table.from_batches([last, b]).combine_chunks().to_batches()[0]
-            new = 0 if last is None else last.num_rows
-            cols = _columns(both)
-            first, second = _pairs(both.num_rows)
-            fresh = second >= new
-            yield spans_of(cols, first[fresh], second[fresh])
-            last = both.slice(max(0, both.num_rows - NEIGHBOURS))
-        if last is not None:
-            yield edge(head.combine_chunks().to_batches()[0], place - 1, 1)
-            yield edge(last, place, 0)
-
-    def across(frame):
-        import pandas as pd
-
-        frame = frame.sort_values(["side", "nth"])
-        fixed = lambda c: np.frombuffer(b"".join(map(bytes, c)), np.uint32).reshape(len(c), REACH)
-        cols = {"key": frame["key"].to_numpy(), "cls": frame["cls"].to_numpy(), "before": fixed(frame["before"]), "after": fixed(frame["after"]), "places": frame["places"].tolist()}
-        side = frame["side"].to_numpy()
-        first, second = _pairs(len(frame))
-        between = side[first] != side[second]
-        return pd.DataFrame(_spans(cols, first[between], second[between]), columns=["cls", "start", "end"])
-
-    ranged = found.select("key", *order, "cls", "places", *({"before", "after"} - set(order))).repartitionByRange(parts, "key", *order, "cls", "places").sortWithinPartitions("key", *order, "cls", "places")
-    done, _ = write_table(ranged.mapInArrow(run, schema), "neighbours")
-    inside = done.where("border is null").select("cls", "start", "end")
-    borders = done.where("border is not null").select("border", "side", "nth", "key", "cls", "places", "before", "after")
-    return inside.union(borders.groupBy("border").applyInPandas(across, SPAN))
+            both = b if rest is None else pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+            key = both.column("key").to_numpy()
+            begins = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+            rest = both
+            if begins:
+                at = begins[0] if opened else 0
+                if at:
+                    yield _spans(both.slice(0, at), False)
+                if at < begins[-1]:
+                    yield _spans(both.slice(at, begins[-1] - at), True)
+                rest, opened = both.slice(begins[-1]), False
+            if rest.num_rows >= RUN:
+                yield _spans(rest, False)
+                rest, opened = None, True
+        if rest is not None:
+            yield _spans(rest, False)
+        pa.default_memory_pool().release_unused()  # the worker lives on
+
+    order = ("key", "after", "before", "cls", "places")
+    ranged = found.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    done, _ = write_table(ranged.mapInArrow(run, StructType.fromDDL(SPAN + ", sign long")), "suffix-spans")
+    signed = done.where("sign is not null")
+    shared = signed.groupBy("sign").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("sign")
+    there = signed.where("start is not null").join(shared, "sign", "left_semi")
+    return done.where("sign is null").select("cls", "start", "end").unionByName(there.select("cls", "start", "end"))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -254,8 +263,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     n = found.count()
     parts = max(1, min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // SORTED_ROWS))
-    spans = neighbours(found, ["after", "before"], parts).union(neighbours(found, ["before", "after"], parts))
-    united, _ = write_table(merged(spans), "passages")
+    united, _ = write_table(merged(shared_spans(found, parts)), "passages")
     remove(docs.sparkSession, path)
 
     own = sketched.select("doc_id", "n_words", "cls")

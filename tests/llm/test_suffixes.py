@@ -57,6 +57,25 @@ def test_planted_passages(spark, monkeypatch, rows):
     assert out == brute(docs)
 
 
+@pytest.mark.parametrize("rows, run", [(2000, 10_000), (20, 10_000), (2000, 30)])
+def test_a_frequent_line_between_many_lead_ins_and_endings(spark, monkeypatch, rows, run):
+    monkeypatch.setattr(suffixes, "SORTED_ROWS", rows)
+    monkeypatch.setattr(suffixes, "RUN", run, raising=False)
+    r = random.Random(7)
+    some = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    line, leads, ends = some(40), [some(5) for _ in range(14)], [some(5) for _ in range(14)]
+    docs = []
+    for a in leads:
+        for z in ends:
+            if r.random() < 0.7:
+                docs += [" ".join(some(r.randrange(30, 40)) + a + line + z + some(r.randrange(30, 40))) for _ in range(r.choice([1, 2]))]
+    r.shuffle(docs)
+    docs = list(enumerate(docs))
+    want = brute(docs)
+    assert 50 < sum(w[3] == 1 for w in want) < len(docs)
+    assert got(suffixes.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))) == want
+
+
 def test_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out, want = got(suffixes.repeated_passages(docs)), brute([(r.doc_id, r.text) for r in docs.collect()])
