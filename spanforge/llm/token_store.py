@@ -15,7 +15,10 @@ its ids and the ids before it.
 Reading. ``read_back`` opens these files, recomputes the name and the CRC of
 every stored chunk from its bytes, follows the recipes, and composes each
 document's CRC from its chunks' (a CRC of a concatenation is a sum over GF(2)),
-so that no document has to be gathered in one place. ``reconstruct`` gives the ids.
+so that no document has to be gathered in one place. A document is verified when
+its chunks' names and lengths hold, its Merkle root is that of its recipe, and
+the recipes of its segment, in a row, give the root and the counts of the
+manifest; none is where a whole segment lacks. ``reconstruct`` gives the ids.
 
 Null and empty texts have the end id alone. Repeated rows are documents of
 their own; rows with one doc_id stand together, ordered by root. An empty table
@@ -31,7 +34,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -88,6 +91,16 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+def document_root(names: bytes, ends: list[int]) -> str:
+    """Merkle root over the names and lengths of a document's chunks."""
+    return merkle([names[NAME_BYTES * i : NAME_BYTES * (i + 1)] + (b - a).to_bytes(8, "little", signed=True) for i, (a, b) in enumerate(zip([0, *ends], ends))]).hex()
+
+
+def segment_leaves(doc_ids: list[int | None], n_tokens: list[int], roots: list[str]) -> list[bytes]:
+    """What a segment's Merkle root holds of each of its documents."""
+    return [f"{d} {n} {root}".encode() for d, n, root in zip(doc_ids, n_tokens, roots, strict=True)]
+
+
 CUT = "kind string, name binary, n_ids long, ids binary, doc_id long, n_tokens long, names binary, ends array<int>, root string"
 DOCUMENT = "kind string, position long, doc_id long, before long, n_tokens long, names binary, ends array<int>, root string, n_docs long"
 
@@ -133,7 +146,7 @@ def write_store(
                         rows.append(("chunks", name, stop - last, part, None, None, None, None, None))
                     last = stop
                 listed = b"".join(names)
-                rows.append(("recipes", None, None, None, doc, upto - first, listed, ends, hashlib.sha256(listed).hexdigest()))
+                rows.append(("recipes", None, None, None, doc, upto - first, listed, ends, document_root(listed, ends)))
                 first, at = upto, split
             return dict(zip(schema.names, zip(*rows, strict=True), strict=True))
 
@@ -169,20 +182,21 @@ def _segments(ordered: DataFrame) -> DataFrame:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
-        segment, position, before, roots = TaskContext.get().partitionId(), 0, 0, []
+        segment, position, before, leaves = TaskContext.get().partitionId(), 0, 0, []
         for b in batches:
             starts = []
-            for n in b.column("n_tokens").to_pylist():
+            lengths = b.column("n_tokens").to_pylist()
+            for n in lengths:
                 starts.append(before)
                 before += n
             k = b.num_rows
-            roots += map(bytes.fromhex, b.column("root").to_pylist())
+            leaves += segment_leaves(b.column("doc_id").to_pylist(), lengths, b.column("root").to_pylist())
             cols = dict(zip(b.schema.names, b.columns, strict=True))
             cols |= {"segment": pa.array([segment] * k), "kind": pa.array(["documents"] * k), "position": pa.array(range(position, position + k)), "before": pa.array(starts, pa.int64()), "n_docs": pa.nulls(k, pa.int64())}
             position += k
             yield pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) for f in out], schema=out)
         if position:
-            row = {"segment": segment, "kind": "segments", "n_tokens": before, "root": merkle(roots).hex(), "n_docs": position}
+            row = {"segment": segment, "kind": "segments", "n_tokens": before, "root": merkle(leaves).hex(), "n_docs": position}
             yield pa.RecordBatch.from_arrays([pa.array([row.get(f.name)], type=f.type) for f in out], schema=out)
 
     return ordered.mapInArrow(run, schema)
@@ -206,7 +220,7 @@ def documents(spark: SparkSession, path: str) -> DataFrame:
     """Recipes in ascending doc_id order with ``start``, the ids of all documents before."""
     manifest = spark.read.parquet(f"{path}/manifest").select("segment", "start")
     # one manifest row for each task that sorted recipes, 16 bytes each
-    own = _ordered(spark, path).where("kind = 'documents'").join(F.broadcast(manifest), "segment")
+    own = _ordered(spark, path).where("kind = 'documents'").join(F.broadcast(manifest), "segment", "left")
     return own.select("segment", "position", "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "names", "ends", "root")
 
 
@@ -250,13 +264,38 @@ KEY = ["segment", "position", "doc_id", "start", "n_tokens", "n_parts", "root_ho
 
 def parts(spark: SparkSession, path: str) -> DataFrame:
     """A row for each chunk of each document, with its length there and the ids that follow it."""
+    @F.arrow_udf("string")
+    def root_of(names: pa.Array, ends: pa.Array) -> pa.Array:
+        return pa.array(map(document_root, names.to_pylist(), ends.to_pylist()), pa.string())
+
     own = documents(spark, path).select(
-        "segment", "position", "doc_id", "start", "n_tokens", F.size("ends").alias("n_parts"), (F.sha2("names", 256) == F.col("root")).alias("root_holds"), "names", F.posexplode("ends").alias("nth", "end"), "ends",
+        "segment", "position", "doc_id", "start", "n_tokens", F.size("ends").alias("n_parts"), (root_of("names", "ends") == F.col("root")).alias("root_holds"), "names", F.posexplode("ends").alias("nth", "end"), "ends",
     )
     length = F.col("end") - F.when(F.col("nth") > 0, F.expr("ends[nth - 1]")).otherwise(0)
     return own.select(*KEY, F.substring("names", F.col("nth") * NAME_BYTES + 1, F.lit(NAME_BYTES)).alias("name"), length.alias("length"), (F.col("n_tokens") - F.col("end")).alias("after"))
 
 
+def segments(spark: SparkSession, path: str) -> DataFrame:
+    """For each segment whether its recipes, in a row, give what the manifest says of it, and no segment lacks as a whole."""
+    schema = "segment long, found_docs long, found_tokens long, found_root string, in_row boolean"
+
+    def check(table: pa.Table) -> pa.Table:
+        cols = table.sort_by("position").to_pydict()
+        before = np.cumsum([0, *cols["n_tokens"]]).tolist()
+        in_row = cols["position"] == list(range(table.num_rows)) and cols["before"] == before[:-1]
+        root = merkle(segment_leaves(cols["doc_id"], cols["n_tokens"], cols["root"])).hex()
+        return pa.table({"segment": cols["segment"][:1], "found_docs": [table.num_rows], "found_tokens": before[-1:], "found_root": [root], "in_row": [in_row]})
+
+    # a segment is what one task has sorted and rooted, here without names and ends
+    recipes = _ordered(spark, path).where("kind = 'documents'").select("segment", "position", "before", "doc_id", "n_tokens", "root")
+    both = spark.read.parquet(f"{path}/manifest").join(recipes.groupBy("segment").applyInArrow(check, schema), "segment", "full_outer")
+    # one row for each task that sorted recipes
+    before = F.sum("n_tokens").over(Window.orderBy("segment").rowsBetween(Window.unboundedPreceding, -1))
+    there = F.min(F.expr("n_docs is not null and found_docs is not null")).over(Window.partitionBy())
+    holds = F.expr("coalesce(in_row and found_docs = n_docs and found_tokens = n_tokens and found_root = root, false)")
+    return both.select("segment", (holds & there & (F.col("start") == F.coalesce(before, F.lit(0)))).alias("segment_holds"))
+
+
 def read_back(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document from the store's files, and whether all its digests hold."""
     (width,) = {r.width for r in spark.read.parquet(f"{path}/manifest").select("width").distinct().collect()} or {2}
@@ -279,9 +318,10 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
     stored = chunks(spark, path).select("name", "ids")
     own = map_rows(stored, crcs, StructType.fromDDL("name binary, crc long, n_ids long, holds boolean"), tokenizes=True)
-    met = parts(spark, path).join(own, "name", "left").select(*KEY, shifted(F.coalesce("crc", F.lit(0)), "after").alias("crc"), F.expr("coalesce(holds and n_ids = length, false)").alias("holds"))
-    whole = met.groupBy(*KEY).agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_met"), F.min("holds").alias("holds"))
-    return whole.select("doc_id", "start", "n_tokens", "ids_crc32", F.expr("holds and root_holds and n_met = n_parts").alias("verified"))
+    met = parts(spark, path).join(own, "name", "left").select(*KEY, shifted(F.coalesce("crc", F.lit(0)), "after").alias("crc"), "n_ids", F.expr("coalesce(holds and n_ids = length, false)").alias("holds"))
+    whole = met.groupBy(*KEY).agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_met"), F.sum("n_ids").alias("n_ids"), F.min("holds").alias("holds"))
+    verified = F.expr("coalesce(holds and root_holds and n_met = n_parts and n_ids = n_tokens and segment_holds, false)")
+    return whole.join(F.broadcast(segments(spark, path)), "segment", "left").select("doc_id", "start", "n_tokens", "ids_crc32", verified.alias("verified"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:

@@ -72,6 +72,37 @@ def test_store_notices_a_changed_chunk(spark, odd_docs, tmp_path):
     assert held[5] is False and held[1] is True
 
 
+@pytest.mark.parametrize("damage", ["none", "removed", "swapped", "renamed", "lengths", "segment"])
+def test_store_notices_changed_recipes(spark, damage):
+    docs = spark.createDataFrame([(i, f"text {i} of a few words " * (i + 1)) for i in range(40)], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several segments
+    try:
+        path = token_store.write_store(docs, new_path(spark, "store"), cut_bits=2, least=12, most=16)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    table = spark.read.schema("segment long, " + token_store.DOCUMENT).parquet(f"{path}/ordered")
+    rows = [r.asDict() for r in table.orderBy("segment", "position").collect()]
+    recipes = [r for r in rows if r["kind"] == "documents"]
+    assert len({r["segment"] for r in recipes}) > 2
+    a, b = [r for r in recipes if r["segment"] == recipes[-1]["segment"]][:2]
+    if damage == "removed":
+        rows.remove(a)
+    elif damage == "swapped":  # each with its own root, and the places still follow each other
+        for k in ("names", "ends", "root", "n_tokens"):
+            a[k], b[k] = b[k], a[k]
+        b["before"] = a["before"] + a["n_tokens"]
+    elif damage == "renamed":
+        a["doc_id"], b["doc_id"] = b["doc_id"], a["doc_id"]
+    elif damage == "lengths":
+        a["n_tokens"] += 1
+    elif damage == "segment":
+        rows = [r for r in rows if r["segment"] != a["segment"]]
+    damaged = {r["doc_id"] for r in recipes if damage == "segment" or damage != "none" and r["segment"] == a["segment"]}
+    spark.createDataFrame(rows, table.schema).write.mode("overwrite").partitionBy("kind").parquet(f"{path}/ordered")
+    held = {r.doc_id: r.verified for r in token_store.read_back(spark, path).collect()}
+    assert held == {r["doc_id"]: r["doc_id"] not in damaged for r in rows if r["kind"] == "documents"}
+
+
 def test_empty_store(spark, no_docs):
     assert token_store.token_store(no_docs).count() == 0
     assert packing.pack(no_docs).count() == 0
