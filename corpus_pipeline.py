@@ -1,9 +1,9 @@
 """A corpus of documents made ready for training, in five stages.
 
 Each stage takes all that the one before kept; all but the last return the
-columns of ``documents``. Rows that share a doc_id are judged together: if one of
-them is rejected or contaminated, all go, and of equal rows one stays. Rows
-without a doc_id are judged so too.
+columns of ``documents``. Rows are judged each for itself, by a key of doc_id and
+text, whether or not their doc_id is null or stands at other rows too; of rows
+with the same doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -20,30 +20,41 @@ from spanforge.llm.winnow import decontaminate
 from spanforge.shared import write_table
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how)
+def _keyed(docs: DataFrame) -> DataFrame:
+    # which of the two are null is hashed too, as a null leaves a hash as it was
+    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def _by_key(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the key for doc_id."""
+    return _keyed(docs).select(F.col("_key").alias("doc_id"), "text")
+
+
+def _with_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    return _keyed(docs).join(keys.select("_key").distinct(), "_key", how).select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    scored = score_quality(docs, table(spark, sf_dir, "labels"))
-    return _with_ids(docs, scored.where("predicted = 0"), "left_anti")
+    scored = score_quality(_keyed(docs), table(spark, sf_dir, "labels"), "_key")
+    return _with_keys(docs, scored.where("predicted = 0"), "left_anti")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least doc_id of each group that the Jaccard join links."""
-    found = jaccard_components(docs)
-    kept = _with_ids(docs, found.where("doc_id <=> component_id"), "left_semi")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.where("doc_id is null").unionByName(kept.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    """Keeps the document with the least doc_id of each group that the Jaccard join links, one without a doc_id only where all are."""
+    found = jaccard_components(_by_key(docs)).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
+    named, _ = write_table(_keyed(docs).groupBy("_key").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_rows")), "pipeline-keys")
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))
+    kept = _with_keys(docs, found.distinct().join(named, "_key").groupBy("_group").agg(first.alias("_first")).select("_first._key"), "left_semi")
+    if named.where("_rows > 1").limit(1).count():
+        kept = _keyed(kept).dropDuplicates(["_key"]).select(*docs.columns)
     return kept
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return _with_ids(docs, hit.where("contaminated"), "left_anti")
+    hit = decontaminate(_by_key(docs), table(spark, sf_dir, "benchmark"))
+    return _with_keys(docs, hit.where("contaminated").select(F.col("doc_id").alias("_key")), "left_anti")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,15 +66,17 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, the statistics of each text, and the columns ``kept``, which are long."""
+
     def make():
         def each(cols):
             got = np.asarray([statistics(t) for t in cols[1]])
-            return {"doc_id": cols[0], **dict(zip(STATISTICS, got.T.tolist(), strict=True))}
+            return {"doc_id": cols[0], **dict(zip(STATISTICS, got.T.tolist(), strict=True)), **dict(zip(kept, cols[2:], strict=True))}
 
         return each
 
-    return map_rows(docs.select("doc_id", "text"), make, StructType.fromDDL("doc_id long, " + ", ".join(f"{s} double" for s in STATISTICS)))
+    return map_rows(docs.select("doc_id", "text", *kept), make, StructType.fromDDL(", ".join(["doc_id long", *(f"{s} double" for s in STATISTICS), *(f"{k} long" for k in kept)])))
 
 
 @dataclass
@@ -183,18 +185,19 @@ def calibrated(model: Discriminant, rows: DataFrame) -> Discriminant:
     return model
 
 
-def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted for each row of ``docs`` (doc_id, text)."""
-    known, _ = write_table(with_statistics(docs), "statistics")
+def score_quality(docs: DataFrame, labels: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted for each row of ``docs`` (doc_id, text), and its columns ``kept``, which are long."""
+    known, _ = write_table(with_statistics(docs, *kept), "statistics")
+    n = 1 + len(STATISTICS)
     taught = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
     model = fit(known.join(taught, "doc_id"))
 
     def make():
         def each(cols):
-            score = model.score(np.asarray(cols[1:], float).T) if model else np.full(len(cols[0]), 0.5)
-            return {"doc_id": cols[0], "score": score.tolist()}
+            score = model.score(np.asarray(cols[1:n], float).T) if model else np.full(len(cols[0]), 0.5)
+            return {"doc_id": cols[0], "score": score.tolist(), **dict(zip(kept, cols[n:], strict=True))}
 
         return each
 
-    scored = map_rows(known, make, StructType.fromDDL("doc_id long, score double"))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = map_rows(known, make, StructType.fromDDL(", ".join(["doc_id long", "score double", *(f"{k} long" for k in kept)])))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *kept)

@@ -48,5 +48,24 @@ def test_odd_rows_and_empty(spark, odd_docs, no_docs):
             docs, _ = corpus_pipeline.write_table(stage(spark, docs, "/root/testdata/sf0.001"), "odd")
 
 
+def test_rows_are_judged_each_for_itself(spark):
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    item = next(r.text for r in spark.read.parquet(f"{D}/benchmark.parquet").orderBy("item_id").collect() if r.item_id is not None and len((r.text or "").split()) > 12)
+    scores = quality.score_quality(docs, spark.read.parquet(f"{D}/labels.parquet"))
+    good, bad = ([r.text for r in docs.join(scores.where(f"predicted = {p}"), "doc_id").orderBy("doc_id").limit(2).collect()] for p in (1, 0))
+    clean = [f"{w} " + " ".join(f"{w}{i}" for i in range(60)) for w in ("oak", "elm", "ash")]
+
+    def kept(stage, rows):
+        out = stage(spark, spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], docs.schema), D)
+        return sorted(((r.doc_id, r.text) for r in out.select("doc_id", "text").collect()), key=str)
+
+    for d in (None, -1):
+        assert kept(lambda s, x, p: corpus_pipeline.quality(s, docs.unionByName(x), p).where("doc_id <=> " + ("null" if d is None else "-1")), [(d, good[0]), (d, bad[0]), (d, good[1])]) == sorted([(d, good[0]), (d, good[1])], key=str)
+        assert kept(corpus_pipeline.decontamination, [(d, clean[0]), (d, clean[1] + " " + item), (d, clean[2])]) == sorted([(d, clean[0]), (d, clean[2])], key=str)
+        assert kept(corpus_pipeline.near_duplicates, [(d, clean[0]), (d, clean[0]), (d, clean[0] + " x"), (7, clean[1]), (d, clean[1]), (d, clean[2])]) in (
+            sorted([(d, first), (min(d or 7, 7), clean[1]), (d, clean[2])], key=str) for first in (clean[0], clean[0] + " x")
+        )
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").where("doc_id is null").count() == 0
