@@ -2,29 +2,35 @@
 
 Long jobs cut their lineage by writing a table and reading it again, so a lost
 executor costs the tasks it ran and never the work before the table. The
-folder is the session's ``spark.checkpoint.dir``; only where that is unset, as
-in tests on one machine, a temporary folder is made for the session.
+folder is the session's ``spark.checkpoint.dir``; only where that is unset and
+the master is local, as in tests, a temporary folder is made for the session.
+On a cluster a session without it is an error.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
-#: Tables of this session that were not removed yet.
+#: Tables of this session that were not removed yet, and those written within ``temporary``.
 _made: set[str] = set()
+_within: list[set[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; one is made and set where there is none."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines reach")
         if not _own:
             made = tempfile.TemporaryDirectory(prefix="spanforge-")
             atexit.register(made.cleanup)
@@ -33,12 +39,26 @@ def shared_dir(spark: SparkSession) -> str:
     return d
 
 
-def new_path(spark: SparkSession, name: str) -> str:
+def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A place for a table; ``keep`` it beyond the innermost ``temporary``."""
     path = f"{shared_dir(spark).rstrip('/')}/spanforge/{name}-{uuid.uuid4().hex}"
     _made.add(path)
+    if _within and not keep:
+        _within[-1].add(path)
     return path
 
 
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written within; what reads them must have run by then."""
+    _within.append(set())
+    try:
+        yield
+    finally:
+        for path in _within.pop() & _made:
+            remove(spark, path)
+
+
 def write_table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet into the shared folder; returns the table read again and its path."""
     spark = df.sparkSession
