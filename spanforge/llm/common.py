@@ -6,7 +6,8 @@ import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .tokens import forget
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_key() -> Column:
+    """A key of a row of doc_id and text; rows without a doc_id have one for each text."""
+    return F.xxhash64("doc_id", "text")
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]], schema: StructType, tokenizes: bool = False) -> DataFrame:
     """``mapInArrow`` over lists of column values.
 

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import release, remove, write_table
-from .common import map_rows
+from .common import map_rows, row_key
 from .shingles import shingle_sets
 
 SHINGLE = 5
@@ -62,13 +62,13 @@ def class_of(tokens: np.ndarray) -> int:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n (distinct shingles), cls, and the prefix of each class's first document in a task."""
+    """doc_id, key (of the row), n (distinct shingles), cls, and the prefix of each class's first document in a task."""
 
     def make():
         seen: set[int] = set()
 
         def each(cols):
-            out = {"doc_id": cols[0], "n": [], "cls": [], "prefix": []}
+            out = {"doc_id": cols[0], "key": cols[2], "n": [], "cls": [], "prefix": []}
             for tokens in shingle_sets(cols[1], SHINGLE):
                 n, cls = len(tokens), class_of(tokens)
                 out["n"].append(n)
@@ -83,12 +83,12 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return each
 
-    return map_rows(docs.select("doc_id", "text"), make, StructType.fromDDL("doc_id long, n long, cls long, prefix array<long>"))
+    return map_rows(docs.select("doc_id", "text", row_key().alias("key")), make, StructType.fromDDL("doc_id long, key long, n long, cls long, prefix array<long>"))
 
 
 def staying(sketched: DataFrame) -> DataFrame:
-    """cls and rep (its least doc_id) of the classes that stay after step 1."""
-    classes = sketched.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count("prefix").alias("given"))
+    """cls and rep (its least row key) of the classes that stay after step 1."""
+    classes = sketched.where("n > 0").groupBy("cls").agg(F.min("key").alias("rep"), F.max("n").alias("n"), F.count("prefix").alias("given"))
     o = F.ceil(F.col("n") * SIMILARITY[0] / SIMILARITY[1])
     asked = F.expr("n div 20 + 1")
     postings = sketched.where("prefix is not null").select("cls", F.explode(F.slice("prefix", 1, (F.col("n") - o + asked).cast("int"))).alias("token"))
@@ -106,7 +106,7 @@ def whole_sets(docs: DataFrame, stay: DataFrame) -> DataFrame:
         def each(cols):
             out = {"cls": [], "n": [], "tokens": []}
             for cls, tokens in zip(cols[0], shingle_sets(cols[1], SHINGLE), strict=True):
-                if class_of(tokens) == cls:  # another row may have the same doc_id
+                if class_of(tokens) == cls:  # another row may have the same key
                     out["cls"].append(cls)
                     out["n"].append(len(tokens))
                     out["tokens"].append(tokens.view(np.int64))
@@ -115,7 +115,7 @@ def whole_sets(docs: DataFrame, stay: DataFrame) -> DataFrame:
         return each
 
     # what stays grows with the input, so it is never broadcast
-    texts = docs.select("doc_id", "text").join(stay.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep"))).select("cls", "text")
+    texts = docs.select(row_key().alias("rep"), "text").join(stay.hint("merge"), "rep").select("cls", "text")
     return map_rows(texts, make, StructType.fromDDL("cls long, n long, tokens array<long>")).dropDuplicates(["cls"])
 
 
@@ -256,10 +256,9 @@ def contracted(labels: DataFrame, links: DataFrame) -> DataFrame:
     return new
 
 
-def between(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides (job, cls) of the pairs of components that still may link."""
+def between(sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (job, small) of components that still may link, the larger one the job."""
     own = sets.join(labels, "cls")
-    members = own.select("cls", "component")
     sizes = own.groupBy("component").agg(F.count("*").alias("size"), F.min("asked").alias("asked"))
     postings = placed_prefixes(own, "component").groupBy("component", "token").agg(F.min("n").alias("n"), F.max("p").alias("p"), F.max("q").alias("q"))
     open_tokens = postings.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
@@ -269,10 +268,7 @@ def between(sets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     sx = sizes.select(F.col("component").alias("x"), F.col("size").alias("nx"), F.col("asked").alias("ax"))
     sy = sizes.select(F.col("component").alias("y"), F.col("size").alias("ny"), F.col("asked").alias("ay"))
     enough = pairs.join(sx, "x").join(sy, "y").where("met >= least(ax, ay)")
-    # the larger component is the job, the smaller one's classes are its queries
-    jobs = enough.select(F.expr("if(nx >= ny, x, y)").alias("job"), F.expr("if(nx >= ny, y, x)").alias("small"))
-    queries = jobs.join(members.withColumnRenamed("component", "small"), "small").select("job", "cls")
-    return jobs.select("job").distinct().join(members.withColumnRenamed("component", "job"), "job").select("job", "cls"), queries
+    return enough.select(F.expr("if(nx >= ny, x, y)").alias("job"), F.expr("if(nx >= ny, y, x)").alias("small"))
 
 
 def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
@@ -293,7 +289,11 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         found, _ = write_table(linked_leaders(sets, candidates), "links")
         labels = contracted(labels, found)
         release(spark)
-    larger, smaller = between(sets, labels)
+    pairs, _ = write_table(between(sets, labels), "pairs")
+    release(spark)
+    # a job's members, and as its queries the classes of the smaller ones
+    larger = pairs.select("job").distinct().join(labels.withColumnRenamed("component", "job"), "job").select("job", "cls")
+    smaller = pairs.join(labels.withColumnRenamed("component", "small"), "small").select("job", "cls")
     found, _ = write_table(verified(sets, larger, smaller), "links")
     return contracted(labels, found)
 

@@ -24,13 +24,15 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import write_table
-from .common import map_rows
+from .common import ROWS, map_rows
 from .rules import Text
+from .tokens import forget
 
 #: Names of the statistics, in the order of ``statistics``.
 STATISTICS = "words mean_word spread_word distinct symbols capitals digits marks shouts repeats dup_lines line_words foreign entropy odd_words".split()
@@ -66,17 +68,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def with_statistics(docs: DataFrame, *kept: str) -> DataFrame:
-    """doc_id, the statistics of each text, and the columns ``kept``, which are long."""
+#: The column of a document's statistics.
+VECTOR = "_statistics"
 
-    def make():
-        def each(cols):
-            got = np.asarray([statistics(t) for t in cols[1]])
-            return {"doc_id": cols[0], **dict(zip(STATISTICS, got.T.tolist(), strict=True)), **dict(zip(kept, cols[2:], strict=True))}
 
-        return each
+def with_statistics(docs: DataFrame, *kept: str) -> DataFrame:
+    """doc_id, the columns ``kept``, which don't leave the JVM, and the statistics of each text as one array."""
+
+    @F.arrow_udf("array<double>")
+    def of(texts: pa.Array) -> pa.Array:
+        forget()
+        got = []
+        for at in range(0, len(texts), ROWS):
+            got += [statistics(t) for t in texts.slice(at, ROWS).to_pylist()]
+        return pa.array(got, pa.list_(pa.float64()))
 
-    return map_rows(docs.select("doc_id", "text", *kept), make, StructType.fromDDL(", ".join(["doc_id long", *(f"{s} double" for s in STATISTICS), *(f"{k} long" for k in kept)])))
+    return docs.select("doc_id", *(k for k in kept if k != "doc_id"), of("text").alias(VECTOR))
 
 
 @dataclass
@@ -115,17 +122,23 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratio(x) + self.shift, -40, 40)))
 
 
+#: Moments are summed as whole multiples of this, so that the order of the sum changes no bit.
+UNIT = 2.0**-40
+
+
 def moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """Of each label: rows, sums, and sums of products."""
-    pairs = [(a, b) for i, a in enumerate(STATISTICS) for b in STATISTICS[i:]]
-    sums = [F.sum(s).alias(s) for s in STATISTICS] + [F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for a, b in pairs]
+    d = len(STATISTICS)
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    x = lambda i: F.col(VECTOR)[i]
+    whole = lambda c: F.sum(F.round(c / UNIT).cast("decimal(20,0)"))
+    sums = [whole(x(i)).alias(f"s{i}") for i in range(d)] + [whole(x(i) * x(j)).alias(f"p{i}_{j}") for i, j in pairs]
     out = {}
     for r in rows.groupBy("quality").agg(F.count("*").alias("n"), *sums).collect():  # two rows
-        m = np.zeros((len(STATISTICS),) * 2)
-        for a, b in pairs:
-            i, j = STATISTICS.index(a), STATISTICS.index(b)
-            m[i, j] = m[j, i] = r[f"{a}*{b}"]
-        out[r.quality] = (r.n, np.asarray([r[s] for s in STATISTICS]), m)
+        m = np.zeros((d, d))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = float(r[f"p{i}_{j}"]) * UNIT
+        out[r.quality] = (r.n, np.asarray([float(r[f"s{i}"]) * UNIT for i in range(d)]), m)
     return out
 
 
@@ -164,12 +177,12 @@ def calibrated(model: Discriminant, rows: DataFrame) -> Discriminant:
 
     def make():
         def each(cols):
-            squashed = np.tanh(model.ratio(np.asarray(cols[1:], float).T) / 8)
+            squashed = np.tanh(model.ratio(np.asarray(cols[1], float)) / 8)
             return {"quality": cols[0], "step": np.clip(np.round((squashed + 1) / 2 * STEPS), 1, STEPS - 1).astype(int).tolist()}
 
         return each
 
-    counted = map_rows(rows.select("quality", *STATISTICS), make, StructType.fromDDL("quality int, step int")).groupBy("quality", "step").count().collect()
+    counted = map_rows(rows.select("quality", VECTOR), make, StructType.fromDDL("quality int, step int")).groupBy("quality", "step").count().orderBy("quality", "step").collect()
     x = np.asarray([8 * np.arctanh(2 * r.step / STEPS - 1) for r in counted])
     y, w = np.asarray([float(r.quality) for r in counted]), np.asarray([float(r["count"]) for r in counted])
     a, b = 1.0, 0.0
@@ -186,18 +199,19 @@ def calibrated(model: Discriminant, rows: DataFrame) -> Discriminant:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, *kept: str) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted for each row of ``docs`` (doc_id, text), and its columns ``kept``, which are long."""
+    """doc_id, held_out, score (0 to 1) and predicted for each row of ``docs`` (doc_id, text), and its columns ``kept``.
+
+    Kept columns go with their row from table to table, so no text is shuffled.
+    """
     known, _ = write_table(with_statistics(docs, *kept), "statistics")
-    n = 1 + len(STATISTICS)
     taught = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
-    model = fit(known.join(taught, "doc_id"))
-
-    def make():
-        def each(cols):
-            score = model.score(np.asarray(cols[1:n], float).T) if model else np.full(len(cols[0]), 0.5)
-            return {"doc_id": cols[0], "score": score.tolist(), **dict(zip(kept, cols[n:], strict=True))}
+    model = fit(known.select("doc_id", VECTOR).join(taught, "doc_id"))
 
-        return each
+    @F.arrow_udf("double")
+    def scores(vectors: pa.Array) -> pa.Array:
+        if not model or not len(vectors):
+            return pa.array([0.5] * len(vectors), pa.float64())
+        return pa.array(model.score(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), len(STATISTICS))))
 
-    scored = map_rows(known, make, StructType.fromDDL(", ".join(["doc_id long", "score double", *(f"{k} long" for k in kept)])))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *kept)
+    scored = known.withColumn(VECTOR, scores(VECTOR))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(VECTOR).alias("score"), (F.col(VECTOR) >= 0.5).cast("int").alias("predicted"), *(k for k in kept if k != "doc_id"))

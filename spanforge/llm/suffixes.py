@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import release, remove, write_table
-from .common import map_rows
+from .common import map_rows, row_key
 from .shingles import grams, word_hashes
 
 KEY = 20
@@ -65,13 +65,13 @@ def _each_words(texts):
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, cls, and the keys and places of each class's first document in a task."""
+    """doc_id, row (its key), n_words, cls, and the keys and places of each class's first document in a task."""
 
     def make():
         seen: set[int] = set()
 
         def each(cols):
-            out = {"doc_id": cols[0], "n_words": [], "cls": [], "keys": [], "places": []}
+            out = {"doc_id": cols[0], "row": cols[2], "n_words": [], "cls": [], "keys": [], "places": []}
             for words, keys in _each_words(cols[1]):
                 cls = class_of(words)
                 out["n_words"].append(len(words))
@@ -85,7 +85,7 @@ def sketch(docs: DataFrame) -> DataFrame:
 
         return each
 
-    return map_rows(docs.select("doc_id", "text"), make, StructType.fromDDL("doc_id long, n_words long, cls long, keys array<long>, places array<int>"))
+    return map_rows(docs.select("doc_id", "text", row_key().alias("row")), make, StructType.fromDDL("doc_id long, row long, n_words long, cls long, keys array<long>, places array<int>"))
 
 
 SUFFIX = "key long, cls long, places array<int>, before binary, after binary"
@@ -97,7 +97,7 @@ def suffixes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
     shared = each.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a < b").select("key")
     shared, _ = write_table(shared, "suffix-keys")  # read anew, so that a join on a frequent key can be split
     places = each.join(shared, "key").groupBy("cls").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    rep = sketched.where("keys is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    rep = sketched.where("keys is not null").groupBy("cls").agg(F.min("row").alias("row"))
     asked = places.join(rep, "cls")
 
     def make():
@@ -106,7 +106,7 @@ def suffixes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         def each_doc(cols):
             out = {k: [] for k in ("key", "cls", "places", "before", "after")}
             for cls, places, (words, keys) in zip(cols[0], cols[1], _each_words(cols[2]), strict=True):
-                if class_of(words) != cls:  # another row may have the same doc_id
+                if class_of(words) != cls:  # another row may have the same key
                     continue
                 short = np.concatenate([edge, (words & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1), edge])
                 at = np.asarray(places)
@@ -124,7 +124,7 @@ def suffixes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
         return each_doc
 
     # what is asked for grows with the input, so it is never broadcast
-    texts = docs.select("doc_id", "text").join(asked.hint("merge").withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of"))).select("cls", "places", "text")
+    texts = docs.select(row_key().alias("row"), "text").join(asked.hint("merge"), "row").select("cls", "places", "text")
     return map_rows(texts, make, StructType.fromDDL(SUFFIX)).dropDuplicates(["key", "cls", "before", "after"])
 
 

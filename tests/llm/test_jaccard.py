@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -85,3 +86,19 @@ def test_rows_without_doc_id(spark):
     docs = [(None, base), (None, base), (3, base + "x"), (None, "alone in the world of words")]
     out = jaccard_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in out) == [(0, 0), (0, 3), (0, 3), (3, 3)]
+
+
+def test_rows_without_ids(spark):
+    """Rows without an id meet by their texts, not each with every class."""
+    rng = random.Random(5)
+    docs = [(i, " ".join(f"v{rng.randrange(3000)}" for _ in range(40))) for i in range(2500)]
+    docs += [(10_000 + i, t + " end") for i, t in docs[:1250]]
+    took = []
+    for shape in (docs, [(None, t) for _, t in docs]):
+        began = time.time()
+        got = jaccard_join.jaccard_components(spark.createDataFrame(shape, "doc_id long, text string").repartition(4)).collect()
+        took.append(time.time() - began)
+        assert len(got) == len(docs)
+        if shape is docs:
+            assert sum(r.component_id != r.doc_id for r in got) == 1250
+    assert took[1] < 2 * took[0] + 5
