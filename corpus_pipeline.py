@@ -17,7 +17,7 @@ from spanforge.llm.packing import pack
 from spanforge.llm.pii import redact
 from spanforge.llm.quality import score_quality
 from spanforge.llm.winnow import decontaminate
-from spanforge.shared import write_table
+from spanforge.shared import new_path, remove, temporary, write_table
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -30,14 +30,10 @@ def _by_key(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select(F.col("_key").alias("doc_id"), "text")
 
 
-def _with_keys(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
-    return _keyed(docs).join(keys.select("_key").distinct(), "_key", how).select(*docs.columns)
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
-    scored = score_quality(_keyed(docs), table(spark, sf_dir, "labels"), "_key")
-    return _with_keys(docs, scored.where("predicted = 0"), "left_anti")
+    scored = score_quality(docs, table(spark, sf_dir, "labels"), *docs.columns)
+    return scored.where("predicted = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,16 +41,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = jaccard_components(_by_key(docs)).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
     named, _ = write_table(_keyed(docs).groupBy("_key").agg(F.min("doc_id").alias("_id"), F.count("*").alias("_rows")), "pipeline-keys")
     first = F.min(F.struct(F.col("_id").isNull(), "_id", "_key"))
-    kept = _with_keys(docs, found.distinct().join(named, "_key").groupBy("_group").agg(first.alias("_first")).select("_first._key"), "left_semi")
+    keys, _ = write_table(found.distinct().join(named, "_key").groupBy("_group").agg(first.alias("_first")).select("_first._key"), "kept")
+    kept = _keyed(docs).join(keys, "_key", "left_semi")
     if named.where("_rows > 1").limit(1).count():
-        kept = _keyed(kept).dropDuplicates(["_key"]).select(*docs.columns)
-    return kept
+        kept = kept.dropDuplicates(["_key"])
+    return kept.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
     hit = decontaminate(_by_key(docs), table(spark, sf_dir, "benchmark"))
-    return _with_keys(docs, hit.where("contaminated").select(F.col("doc_id").alias("_key")), "left_anti")
+    # written, so that Spark knows its size and moves the texts only if it is large
+    keys, _ = write_table(hit.where("contaminated").select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return _keyed(docs).join(keys, "_key", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -81,7 +80,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written before the next reads them."""
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary(spark):  # what a stage has written for itself goes with its input
+            kept = stage(spark, docs, sf_dir).write
+            to = new_path(spark, f"pipeline-{name}", keep=True)
+            kept.parquet(to)
+        if path:
+            remove(spark, path)
+        docs, path = spark.read.schema(docs.schema).parquet(to), to
     return STAGES[-1][1](spark, docs, sf_dir)
