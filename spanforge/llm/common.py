@@ -25,6 +25,24 @@ def row_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
 
+def column_of(each: Callable[[list], list], kind: str, out: pa.DataType) -> Callable[..., Column]:
+    """A column function: ``each`` makes of up to ROWS values as many of the Spark type ``kind``, in a worker that forgets tokens."""
+
+    @F.arrow_udf(kind)
+    def run(values: pa.Array) -> pa.Array:
+        forget()
+        gc.disable()
+        parts = []
+        for at in range(0, len(values), ROWS):
+            parts.append(pa.array(each(values.slice(at, ROWS).to_pylist()), out))
+        gc.collect(0)
+        gc.enable()
+        pa.default_memory_pool().release_unused()
+        return pa.concat_arrays(parts) if parts else pa.array([], out)
+
+    return run
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], dict[str, list]]], schema: StructType, tokenizes: bool = False) -> DataFrame:
     """``mapInArrow`` over lists of column values.
 

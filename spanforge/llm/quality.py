@@ -30,9 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import write_table
-from .common import ROWS, map_rows
+from .common import column_of, map_rows
 from .rules import Text
-from .tokens import forget
 
 #: Names of the statistics, in the order of ``statistics``.
 STATISTICS = "words mean_word spread_word distinct symbols capitals digits marks shouts repeats dup_lines line_words foreign entropy odd_words".split()
@@ -75,14 +74,7 @@ VECTOR = "_statistics"
 def with_statistics(docs: DataFrame, *kept: str) -> DataFrame:
     """doc_id, the columns ``kept``, which don't leave the JVM, and the statistics of each text as one array."""
 
-    @F.arrow_udf("array<double>")
-    def of(texts: pa.Array) -> pa.Array:
-        forget()
-        got = []
-        for at in range(0, len(texts), ROWS):
-            got += [statistics(t) for t in texts.slice(at, ROWS).to_pylist()]
-        return pa.array(got, pa.list_(pa.float64()))
-
+    of = column_of(lambda texts: [statistics(t) for t in texts], "array<double>", pa.list_(pa.float64()))
     return docs.select("doc_id", *(k for k in kept if k != "doc_id"), of("text").alias(VECTOR))
 
 
@@ -122,23 +114,40 @@ class Discriminant:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.ratio(x) + self.shift, -40, 40)))
 
 
-#: Moments are summed as whole multiples of this, so that the order of the sum changes no bit.
+#: Moments are summed as whole multiples of this, in two parts, so that the order of the sum changes no bit and no sum of rows overflows.
 UNIT = 2.0**-40
+LOW = 20
 
 
 def moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
     """Of each label: rows, sums, and sums of products."""
     d = len(STATISTICS)
-    pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    x = lambda i: F.col(VECTOR)[i]
-    whole = lambda c: F.sum(F.round(c / UNIT).cast("decimal(20,0)"))
-    sums = [whole(x(i)).alias(f"s{i}") for i in range(d)] + [whole(x(i) * x(j)).alias(f"p{i}_{j}") for i, j in pairs]
+    left, right = np.triu_indices(d)
+
+    def make():
+        def each(cols):
+            out = {"quality": [], "at": [], "high": [], "low": []}
+            label, x = np.asarray(cols[0]), np.asarray(cols[1], float)
+            for k in np.unique(label).tolist():
+                own = x[label == k]
+                terms = np.concatenate([np.full((len(own), 1), UNIT), own, own[:, left] * own[:, right]], axis=1)
+                total = np.rint(terms / UNIT).astype(np.int64).sum(0)
+                for name, v in (("quality", [k] * len(total)), ("at", range(len(total))), ("high", (total >> LOW).tolist()), ("low", (total & ((1 << LOW) - 1)).tolist())):
+                    out[name] += v
+            return out
+
+        return each
+
+    parts = map_rows(rows.select("quality", VECTOR), make, StructType.fromDDL("quality int, at int, high long, low long"))
+    found: dict[int, dict[int, int]] = {}
+    for r in parts.groupBy("quality", "at").agg(F.sum("high").alias("high"), F.sum("low").alias("low")).collect():  # a row for each label and sum
+        found.setdefault(r.quality, {})[r["at"]] = (r.high << LOW) + r.low
     out = {}
-    for r in rows.groupBy("quality").agg(F.count("*").alias("n"), *sums).collect():  # two rows
+    for k, sums in found.items():
+        v = np.asarray([sums[i] * UNIT for i in range(1, len(sums))])
         m = np.zeros((d, d))
-        for i, j in pairs:
-            m[i, j] = m[j, i] = float(r[f"p{i}_{j}"]) * UNIT
-        out[r.quality] = (r.n, np.asarray([float(r[f"s{i}"]) * UNIT for i in range(d)]), m)
+        m[left, right] = m[right, left] = v[d:]
+        out[k] = (sums[0], v[:d], m)
     return out
 
 
@@ -207,11 +216,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, *kept: str) -> DataFrame:
     taught = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("quality")).where(~held_out(F.col("doc_id")))
     model = fit(known.select("doc_id", VECTOR).join(taught, "doc_id"))
 
-    @F.arrow_udf("double")
-    def scores(vectors: pa.Array) -> pa.Array:
-        if not model or not len(vectors):
-            return pa.array([0.5] * len(vectors), pa.float64())
-        return pa.array(model.score(vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), len(STATISTICS))))
-
+    scores = column_of(lambda vectors: model.score(np.asarray(vectors, float)).tolist() if model else [0.5] * len(vectors), "double", pa.float64())
     scored = known.withColumn(VECTOR, scores(VECTOR))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col(VECTOR).alias("score"), (F.col(VECTOR) >= 0.5).cast("int").alias("predicted"), *(k for k in kept if k != "doc_id"))
