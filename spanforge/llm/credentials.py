@@ -11,7 +11,8 @@ the input. A weak part that overlaps a base span is left to it.
 A text's places come from the lengths of its matches and of what lies between
 them, summed over the document, so that a text is read once and doesn't move.
 
-Null and empty texts have no spans. Repeated rows are searched each for itself;
+Parts have no greatest length. Null and empty texts have no spans. Repeated
+rows, and rows without a doc_id, are searched each for itself;
 an empty table gives none. Other columns are not read, whatever their names.
 """
 
@@ -50,7 +51,7 @@ class Pattern:
 
 
 def _mixed(x: Column) -> Column:
-    return (F.length(x) <= 64) & x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]")
+    return x.rlike("[0-9]") & x.rlike("[A-Z]") & x.rlike("[a-z]")
 
 
 #: The base patterns (fixed values); longer least lengths in a pattern stand for a test where a dropped match can hide no other.
@@ -61,9 +62,9 @@ BASE = (
 )
 #: What stands for a part of a credential only among others.
 WEAK = (
-    Pattern("identifier", "identifier", r"""(?i:client_?id|user_?name|user_?id|user|login|account|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,64}""", needs=(":", "=")),
+    Pattern("identifier", "identifier", r"""(?i:client_?id|user_?name|user_?id|user|login|account|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""", needs=(":", "=")),
     Pattern("loose", "secret", r"[A-Za-z0-9+/_=-]{20,}", test=_mixed),
-    Pattern("endpoint", "endpoint", r"""(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]{2,20})://[^\x20\x09-\x0D"'<>]{3,200}""", needs=("://",)),
+    Pattern("endpoint", "endpoint", r"""(?i:https?|postgres(?:ql)?|mysql|mongodb|redis|amqp|jdbc:[a-z]{2,})://[^\x20\x09-\x0D"'<>]{3,}""", needs=("://",)),
 )
 KINDS = [p.kind for p in (*BASE, *WEAK)]
 #: Roles that must start within the scope of a weak part for it to be reported.
@@ -130,7 +131,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def _sql() -> str:
     """The same rows in DuckDB's SQL."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
-    tests = {"assign": "length(x) >= 6", "loose": "length(x) <= 64 and regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[a-z]')"}
+    tests = {"assign": "length(x) >= 6", "loose": "regexp_matches(x, '[0-9]') and regexp_matches(x, '[A-Z]') and regexp_matches(x, '[a-z]')"}
     met = "\n  union all ".join(
         f"select r, {q(p.kind)} as kind, {q(p.role)} as role, {n} as ord, {'true' if n < len(BASE) else 'false'} as base, regexp_extract_all(t, {q(p.pattern)}) as m, regexp_extract_all(t, {q(p.pattern)}, {p.group}) as x, regexp_split_to_array(t, {q(p.pattern)}) as g from d"
         for n, p in enumerate((*BASE, *WEAK))

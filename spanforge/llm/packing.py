@@ -9,7 +9,7 @@ task are bounded by these two numbers and not by the input.
 
 A document's tokens are the ids of its text and an end id. Null and empty texts
 have the end id alone. Repeated rows are packed each for itself; rows with the
-same doc_id stay apart by their sequences. An empty table gives no sequences.
+same doc_id, or without one, stay apart by their sequences. An empty table gives no sequences.
 Other columns are not read, whatever their names.
 """
 
@@ -43,7 +43,7 @@ class Windows:
         if at < len(self.open):
             room, window = self.open.pop(at)
         else:
-            if len(self.open) >= self.most:
+            if length < self.size and len(self.open) >= self.most:  # a full window stays not open
                 self.open.pop(0)
             room, window = self.size, self.next
             self.next += 1

@@ -11,8 +11,9 @@ The trees learn from sentences that are made here from a fixed seed, with
 personal data in many spellings and numbers that only look like it. Their count
 is a parameter and nothing of the corpus is sampled.
 
-Null and empty texts have no spans. Every row is judged for itself, so ties and
-repeated rows give equal results; an empty table gives none. Only the text is
+Null and empty texts have no spans. Every row is judged for itself, with or
+without a doc_id, so repeated rows give equal results; of candidates with equal
+scores the first, then the longer one stands. An empty table gives none. Only the text is
 read, and for redaction all other columns pass unchanged.
 """
 
@@ -26,14 +27,12 @@ import re
 import string
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import StructType
 
 from .boosting import Boosted
-from .common import map_rows
-from .tokens import forget
+from .common import column_of, map_rows
 
 LOCAL = string.ascii_letters + string.digits + "._%+-"
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -134,6 +133,9 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     cues = CUE_WORD.findall(before.lower())[-4:]
     near = CUE_WORD.findall(after.lower())[:2]
     other = set().union(*(v for k, v in CUES.items() if k != kind))
+    # the last word that speaks of this kind, and what stands between it and the span
+    said = next((m for m in reversed(list(CUE_WORD.finditer(before.lower()))) if m[0] in CUES[kind]), None)
+    between = before[said.end() :] if said else ""
     flat = re.sub(r"[ ./-]", "", span)
     return [
         *(float(kind == k) for k in KINDS),
@@ -144,7 +146,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float(any(c in CUES[kind] for c in cues)), float(bool(cues) and cues[-1] in CUES[kind]), float(any(c in other for c in cues)), float(any(c in CUES[kind] for c in near)),
         float(before.rstrip().endswith(":")), float(before[-1:].isspace() or not before), float(after[:1].isspace() or not after),
         float(digits[:1] == "0"), float(kind == "ssn" and (digits[:3] in ("000", "666") or digits[:1] == "9")), float("::" in span),
-        math.log1p(sum(c.isdigit() for c in before + after)),
+        math.log1p(sum(c.isdigit() for c in before + after)), float(len(between)) if said else -1.0, float(bool(DIGIT.search(between))), float(len(CUE_WORD.findall(between))) if said else -1.0,
     ]
 
 
@@ -214,20 +216,25 @@ def examples(rows: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features, labels and kind numbers of candidates in made sentences."""
     r = random.Random(seed)
     x, y, kinds = [], [], []
+    words = lambda n: " ".join(r.choice(FILLER) for _ in range(n))
     while len(x) < rows:
-        words = lambda n: " ".join(r.choice(FILLER) for _ in range(n))
-        kind = r.choice(KINDS)
-        real = r.random() < 0.5
-        # shapes that numbers share are personal only beside a word that says so
-        cue = r.choice(sorted(CUES[kind])) if real and (kind in ("phone", "ssn", "card", "ip") or r.random() < 0.5) else ""
-        lead = f"{words(r.randint(0, 5))} {cue}{r.choice(['', ':', ' is', ' number']) if cue else ''} "
-        body = _true(r, kind) if real else _false(r)
-        text = lead + body + r.choice([" ", ". ", ", ", "\n"]) + words(r.randint(0, 5))
-        for c, start, end in candidates(text):
-            hit = real and c == kind and start == len(lead) and end == len(lead) + len(body)
-            x.append(features(text, c, start, end))
-            y.append(float(hit))
-            kinds.append(KINDS.index(c))
+        text, hits = "", set()
+        for _ in range(r.choice([1, 1, 2, 3])):  # items in a row, so that a cue may belong to the one before
+            kind = r.choice(KINDS)
+            real = r.random() < 0.5
+            # shapes that numbers share are personal only beside a word that says so
+            cue = r.choice(sorted(CUES[kind])) if real and (kind in ("phone", "ssn", "card", "ip") or r.random() < 0.5) else ""
+            cue = r.choice([str, str.capitalize, str.upper])(cue)
+            text += f"{words(r.randint(0, 5))} {cue}{r.choice(['', '', ':', '.', ' is', ' number', ' number is', ' from', ' to']) if cue else ''} "
+            body = _true(r, kind) if real else _false(r)
+            if real:
+                hits.add((kind, len(text), len(text) + len(body)))
+            text += body + r.choice([" ", ". ", ", ", "\n"])
+        text += words(r.randint(0, 5))
+        for c in candidates(text):
+            x.append(features(text, *c))
+            y.append(float(c in hits))
+            kinds.append(KINDS.index(c[0]))
     return np.asarray(x, float), np.asarray(y), np.asarray(kinds)
 
 
@@ -243,26 +250,30 @@ class Model:
         for k, kind in enumerate(KINDS):
             own = np.argsort(-p[kinds == k], kind="stable")
             score, hit = p[kinds == k][own], y[kinds == k][own]
-            # the lowest score down to which the wanted share is right, and never below one half
+            # half-way below the lowest score down to which the wanted share is right, and never below one half
             right = np.cumsum(hit) / np.arange(1, len(hit) + 1)
             good = np.flatnonzero((right >= precision) & np.append(score[1:] < score[:-1], True))
-            self.threshold[kind] = max(0.5, float(score[good[-1]])) if len(good) else 2.0
-
-    def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        free = [c for c in candidates(text) if not any(c[1] < e and s < c[2] for _, s, e in base)]
-        if not free:
-            return []
-        p = self.trees.predict(np.asarray([features(text, *c) for c in free], float))
-        out: list[tuple[str, int, int]] = []
-        for score, c in sorted(zip(p.tolist(), free, strict=True), key=lambda t: (-t[0], t[1][1], -t[1][2])):
-            if score >= self.threshold[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in out):
-                out.append(c)
+            self.threshold[kind] = max(0.5, float(score[good[-1]] + np.append(score, 0.0)[good[-1] + 1]) / 2) if len(good) else 2.0
+
+    def spans_of(self, texts: list[str | None]) -> list[tuple[list, list]]:
+        """Of each text its base spans and all its spans, in order; the trees see all candidates at once."""
+        texts = [t or "" for t in texts]
+        bases = [base_spans(t) for t in texts]
+        free = [[c for c in candidates(t) if not any(c[1] < e and s < c[2] for _, s, e in base)] for t, base in zip(texts, bases, strict=True)]
+        x = [features(t, *c) for t, cs in zip(texts, free, strict=True) for c in cs]
+        scores = iter(self.trees.predict(np.asarray(x, float)).tolist() if x else [])
+        out = []
+        for base, cs in zip(bases, free, strict=True):
+            added: list[tuple[str, int, int]] = []
+            # equal scores go to the span that begins first, then to the longer one, then to the kind listed first
+            for score, c in sorted(((next(scores), c) for c in cs), key=lambda t: (-t[0], t[1][1], -t[1][2], KINDS.index(t[1][0]))):
+                if score >= self.threshold[c[0]] and not any(c[1] < e and s < c[2] for _, s, e in added):
+                    added.append(c)
+            out.append((base, sorted([*base, *added], key=lambda s: (s[1], KINDS.index(s[0])))))
         return out
 
     def spans(self, text: str | None) -> tuple[list, list]:
-        """Base spans and all spans, in order."""
-        base = base_spans(text or "")
-        return base, sorted([*base, *self.added(text or "", base)], key=lambda s: (s[1], KINDS.index(s[0])))
+        return self.spans_of([text])[0]
 
 
 @functools.cache
@@ -285,8 +296,7 @@ def find_pii(docs: DataFrame, trained: Model | None = None) -> DataFrame:
     def make():
         def each(cols):
             rows = []
-            for doc, text in zip(*cols, strict=True):
-                base, spans = trained.spans(text)
+            for doc, (base, spans) in zip(cols[0], trained.spans_of(cols[1]), strict=True):
                 rows.append((doc, *(sum(s[0] == k for s in base) for k in BASE), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
             return dict(zip(schema.names, zip(*rows, strict=True), strict=True))
 
@@ -299,19 +309,16 @@ def redact(docs: DataFrame, text: str = "text", trained: Model | None = None) ->
     """``docs`` with each span replaced by its kind in brackets; null stays null."""
     trained = trained or model()
 
-    def clean(s: str | None) -> str | None:
-        if s is None:
-            return None
-        out, at = [], 0
-        for kind, start, end in trained.spans(s)[1]:
-            if start >= at:
-                out += [s[at:start], f"[{kind.upper()}]"]
-            at = max(at, end)
-        return "".join([*out, s[at:]])
-
-    @F.pandas_udf(StringType())
-    def redacted(col: pd.Series) -> pd.Series:
-        forget()
-        return col.map(clean, na_action="ignore")
-
+    def clean(texts: list[str | None]) -> list[str | None]:
+        done: list[str | None] = []
+        for s, (_, spans) in zip(texts, trained.spans_of(texts), strict=True):
+            out, at = [], 0
+            for kind, start, end in spans:
+                if start >= at:
+                    out += [s[at:start], f"[{kind.upper()}]"]
+                at = max(at, end)
+            done.append(None if s is None else "".join([*out, s[at:]]))
+        return done
+
+    redacted = column_of(clean, "string", pa.string())
     return docs.withColumn(text, redacted(text))

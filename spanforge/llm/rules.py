@@ -1,9 +1,10 @@
 """Rule-based quality filter as a short-circuit cascade.
 
 Every rule says whether a document is rejected. On a sample of about
-``SAMPLE_ROWS`` rows, measured where they are read, each
-rule's cost (seconds a document) and selectivity (share rejected) are measured;
-the rules then run in the order of rejections per second, and a document that
+``SAMPLE_ROWS`` rows, measured where they are read, the cost of each statistic
+and the documents that each set of rules rejects are found. Next in order is
+always the rule with most rejections per second: of documents that the rules
+before it left, at the cost of statistics that they didn't read. A document that
 one rule rejects is not looked at by later ones. The order changes the work
 and never the verdict, so the sample decides nothing about the result.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import time
+from collections import Counter
 from collections.abc import Callable
 from functools import cached_property
 
@@ -98,32 +100,65 @@ RULES: dict[str, Callable[[Text], bool]] = {
 BASE = ("few_words", "repeated_trigrams")
 
 
+#: The statistics of a Text that each rule reads, in the order in which they build on each other.
+READS = {
+    "few_words": ("words", "n_words"),
+    "repeated_trigrams": ("words", "n_words", "n_repeat_words"),
+    "symbols": ("n_symbols", "words", "word_chars"),
+    "duplicate_lines": ("lines", "n_dup_lines"),
+    "capitals": ("letters", "capitals"),
+    "word_length": ("words", "n_words", "word_chars"),
+}
+STATISTICS = tuple(dict.fromkeys(s for k in READS.values() for s in k))
+#: What the base counts need anyway.
+COUNTED = tuple(s for s in STATISTICS if s not in ("letters", "capitals"))
+
+
 def measured(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """A row for each rule: seconds, rejected and rows over about ``sample_rows`` documents."""
+    """Over about ``sample_rows`` documents: the seconds of each statistic (name), and how many documents
+    are rejected by just the rules whose bits ``rejecting`` has."""
     n = docs.count()
     part = docs.select("text").sample(min(1.0, sample_rows / max(n, 1)), seed=7)
 
     def make():
         def each(cols):
-            spent = {k: [0.0, 0, len(cols[0])] for k in RULES}
+            spent, rejecting = dict.fromkeys(STATISTICS, 0.0), Counter()
             for text in cols[0]:
-                for k, rule in RULES.items():
-                    t, began = Text(text), time.perf_counter()
-                    spent[k][1] += rule(t)
-                    spent[k][0] += time.perf_counter() - began
-            return {"rule": list(spent), "seconds": [s for s, _, _ in spent.values()], "rejected": [r for _, r, _ in spent.values()], "rows": [c for _, _, c in spent.values()]}
+                t = Text(text)
+                for s in STATISTICS:
+                    began = time.perf_counter()
+                    getattr(t, s)
+                    spent[s] += time.perf_counter() - began
+                rejecting[sum(rule(t) << i for i, rule in enumerate(RULES.values()))] += 1
+            k, m = len(spent), len(rejecting)
+            return {"name": [*spent, *[None] * m], "seconds": [*spent.values(), *[None] * m], "rejecting": [*[None] * k, *rejecting], "rows": [*[None] * k, *rejecting.values()]}
 
         return each
 
-    each = map_rows(part, make, StructType.fromDDL("rule string, seconds double, rejected long, rows long"))
-    return each.groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"), F.sum("rows").alias("rows"))
+    each = map_rows(part, make, StructType.fromDDL("name string, seconds double, rejecting long, rows long"))
+    return each.groupBy("name", "rejecting").agg(F.sum("seconds").alias("seconds"), F.sum("rows").alias("rows"))
+
+
+def ordered(seconds: dict[str, float], rejecting: dict[int, int], known: tuple[str, ...] = ()) -> list[str]:
+    """The rules, next always the one with most rejections per second: of documents that the rules before it
+    left, and counting only the statistics that nothing before it has read."""
+    order: list[str] = []
+    known, left = set(known), dict(rejecting)
+    bit = {k: 1 << i for i, k in enumerate(RULES)}
+    while len(order) < len(RULES):
+        cost = {k: 1e-9 + sum(seconds.get(s, 0.0) for s in READS[k] if s not in known) for k in RULES if k not in order}
+        caught = {k: sum(n for mask, n in left.items() if mask & bit[k]) for k in cost}
+        best = min(cost, key=lambda k: (-caught[k] / cost[k], cost[k], k))
+        order.append(best)
+        known.update(READS[best])
+        left = {mask: n for mask, n in left.items() if not mask & bit[best]}
+    return order
 
 
-def cascade_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """The rules by rejections per second on the sample, those that reject nothing last and the cheap ones first."""
-    found = {r.rule: (r.seconds or 0.0, r.rejected or 0) for r in measured(docs, sample_rows).collect()}
-    cost = lambda k: found.get(k, (0.0, 0))[0] + 1e-9
-    return sorted(RULES, key=lambda k: (-found.get(k, (0.0, 0))[1] / cost(k), cost(k), k))
+def cascade_order(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, known: tuple[str, ...] = ()) -> list[str]:
+    """The rules in the order that the sample gives; what is ``known`` anyway costs nothing."""
+    found = measured(docs, sample_rows).collect()  # a row for each statistic and each set of rules
+    return ordered({r.name: r.seconds for r in found if r.name}, {r.rejecting: r.rows for r in found if not r.name}, known)
 
 
 VERDICT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string, rules_run long"
@@ -136,7 +171,7 @@ def apply_rules(docs: DataFrame, order: list[str] | None = None, statistics: boo
     counts those that ran. With ``statistics`` the base counts are given for
     every row; without, they are null and rules that didn't run cost nothing.
     """
-    order = order or cascade_order(docs)
+    order = order or cascade_order(docs, known=COUNTED if statistics else ())
 
     def make():
         def each(cols):

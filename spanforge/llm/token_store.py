@@ -21,7 +21,7 @@ the recipes of its segment, in a row, give the root and the counts of the
 manifest; none is where a whole segment lacks. ``reconstruct`` gives the ids.
 
 Null and empty texts have the end id alone. Repeated rows are documents of
-their own; rows with one doc_id stand together, ordered by root. An empty table
+their own; rows with one doc_id stand together, ordered by root, those without one first. An empty table
 gives an empty store. Other columns are not read, whatever their names.
 """
 

@@ -43,3 +43,22 @@ def test_keeps_clean_documents(spark):
 
 def test_empty(no_docs):
     assert rules.apply_rules(no_docs).count() == 0
+
+
+def test_order_by_marginal_rejections_per_second():
+    bit = {k: 1 << i for i, k in enumerate(rules.RULES)}
+    seconds = dict.fromkeys(rules.STATISTICS, 1.0) | {"n_repeat_words": 10.0}
+    # symbols rejects most, but nothing that duplicate_lines has left
+    rejecting = {0: 50, bit["duplicate_lines"] | bit["symbols"]: 40, bit["capitals"]: 5, bit["symbols"]: 1, bit["repeated_trigrams"]: 6}
+    order = rules.ordered(seconds, rejecting)
+    assert order[:2] == ["duplicate_lines", "capitals"] and sorted(order) == sorted(rules.RULES)
+    # with all its statistics known a rule costs nothing and goes first
+    assert rules.ordered(seconds, {bit["repeated_trigrams"]: 1, bit["capitals"]: 90}, rules.COUNTED)[0] == "repeated_trigrams"
+    assert sorted(rules.ordered({}, {})) == sorted(rules.RULES)
+
+
+def test_rules_read_what_they_say():
+    for k, rule in rules.RULES.items():
+        t = rules.Text("One line HERE and there #1\n" * 40)
+        rule(t)
+        assert {s for s in rules.STATISTICS if s in vars(t)} == set(rules.READS[k]), k

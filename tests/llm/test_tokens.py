@@ -138,3 +138,21 @@ def test_windows_emit_the_fullest():
     w = packing.Windows(10, 2, 0)
     assert [w.place(n) for n in (6, 7, 3, 5, 4, 9)] == [(0, 0), (1, 0), (1, 7), (2, 0), (0, 6), (3, 0)]
     assert sorted(w.open) == [(1, 3), (5, 2)]
+
+
+def test_full_pieces_close_no_window():
+    w = packing.Windows(10, 2, 0)
+    w.place(4), w.place(7)
+    assert w.place(10) == (2, 0) and len(w.open) == 2
+    assert w.place(6) == (0, 4)
+
+
+def test_rows_without_ids(spark):
+    rows = [(None, "a text without an id"), (None, None), (None, "a text without an id"), (3, "and one with it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    want = sorted((d, len(ids), crc(ids)) for d, ids in ids_of([(d or -1, t) for d, t in rows], "byte_bpe_50k.json", 0))
+    stored = token_store.token_store(docs).collect()
+    assert sorted((r.doc_id or -1, r.n_tokens, r.ids_crc32) for r in stored) == want and all(r.verified for r in stored)
+    assert sorted(r.start for r in stored)[0] == 0 and max(stored, key=lambda r: r.start).doc_id == 3
+    want = sorted((d, len(ids), crc(ids)) for d, ids in ids_of([(d or -1, t) for d, t in rows], "word_bpe_49k.json", 2))
+    assert sorted((r.doc_id or -1, r.doc_tokens, r.ids_crc32) for r in packing.pack(docs).collect()) == want
