@@ -43,26 +43,34 @@ def new_path(spark: SparkSession, name: str, keep: bool = False) -> str:
     """A place for a table; ``keep`` it beyond the innermost ``temporary``."""
     path = f"{shared_dir(spark).rstrip('/')}/spanforge/{name}-{uuid.uuid4().hex}"
     _made.add(path)
-    if _within and not keep:
-        _within[-1].add(path)
+    for made in _within[: -1 if keep else None]:
+        made.add(path)
     return path
 
 
 @contextlib.contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end the tables that were written within; what reads them must have run by then."""
+def written() -> Iterator[set[str]]:
+    """The places of the tables that are written within."""
     _within.append(set())
     try:
-        yield
+        yield _within[-1]
     finally:
-        for path in _within.pop() & _made:
-            remove(spark, path)
+        _within.pop()
+
+
+@contextlib.contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that were written within; what reads them must have run by then."""
+    with written() as made:
+        yield
+    for path in made & _made:
+        remove(spark, path)
 
 
-def write_table(df: DataFrame, name: str, codec: str = "zstd") -> tuple[DataFrame, str]:
+def write_table(df: DataFrame, name: str, codec: str = "zstd", keep: bool = False) -> tuple[DataFrame, str]:
     """Writes ``df`` as Parquet into the shared folder; returns the table read again and its path."""
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = new_path(spark, name, keep)
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
