@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..shared import release, remove, write_table
+from ..shared import release, remove, temporary, write_table
 from .common import map_rows, row_key
 from .shingles import shingle_sets
 
@@ -271,13 +271,16 @@ def between(sets: DataFrame, labels: DataFrame) -> DataFrame:
     return enough.select(F.expr("if(nx >= ny, x, y)").alias("job"), F.expr("if(nx >= ny, y, x)").alias("small"))
 
 
-def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
-    """cls and component of every class that may link with another."""
+def link_classes(docs: DataFrame, sketched: DataFrame, sketch_path: str) -> DataFrame:
+    """cls and component of every class that may link with another; the sketch is deleted when it is read."""
     spark = docs.sparkSession
-    stay, _ = write_table(staying(sketched), "staying")
+    with temporary(spark):
+        stay, _ = write_table(staying(sketched), "staying", keep=True)
+    remove(spark, sketch_path)  # the prefixes are the larger part of it
     release(spark)
     full, full_path = write_table(whole_sets(docs, stay), "sets")
-    kept, kept_path = write_table(reduced(full), "reduced")
+    with temporary(spark):
+        kept, kept_path = write_table(reduced(full), "reduced", keep=True)
     remove(spark, full_path)
     release(spark)
     sets, _ = write_table(with_prefixes(kept), "prefixes")
@@ -300,9 +303,10 @@ def link_classes(docs: DataFrame, sketched: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (least doc_id of its component) for each row of ``docs`` (doc_id, text)."""
-    sketched, _ = write_table(sketch(docs), "sketch")
-    labels = link_classes(docs, sketched)
-    own = sketched.select("doc_id", "n", "cls").withColumn("row_cls", F.when(F.col("n") > 0, F.col("cls")))
+    sketched, path = write_table(sketch(docs), "sketch")
+    of_rows, _ = write_table(sketched.select("doc_id", "n", "cls"), "classes")
+    labels = link_classes(docs, sketched, path)
+    own = of_rows.withColumn("row_cls", F.when(F.col("n") > 0, F.col("cls")))
     named = own.where("n > 0").groupBy("cls").agg(F.min("doc_id").alias("least"))
     grouped = named.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))

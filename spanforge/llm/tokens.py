@@ -14,6 +14,7 @@ A null text is the empty text; it has no ids but the end id of its document.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -127,7 +128,7 @@ class UnitEncoder:
         for i in special:
             out[i] = self._whole(whole[i])
         if len(memo) > MEMO_UNITS:
-            self.memo = {u: memo[u] for u in units if len(u) <= MEMO_CHARS}
+            self.memo = dict(itertools.islice(((u, x) for u, x in memo.items() if len(u) <= MEMO_CHARS), MEMO_UNITS // 4))
         else:
             for u in new:
                 if len(u) > MEMO_CHARS:
