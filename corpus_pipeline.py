@@ -1,13 +1,17 @@
 """A corpus of documents made ready for training, in five stages.
 
 Each stage takes all that the one before kept; all but the last return the
-columns of ``documents``. Rows are judged each for itself, by a key of doc_id and
+columns of ``documents``. A stage's rows are written before the next stage
+begins, which deletes what the stage kept in tables of its own. Rows are judged each for itself, by a key of doc_id and
 text, whether or not their doc_id is null or stands at other rows too; of rows
 with the same doc_id and text one stays.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +21,7 @@ from spanforge.llm.packing import pack
 from spanforge.llm.pii import redact
 from spanforge.llm.quality import score_quality
 from spanforge.llm.winnow import decontaminate
-from spanforge.shared import new_path, remove, temporary, write_table
+from spanforge.shared import remove, write_table, written
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -30,12 +34,33 @@ def _by_key(docs: DataFrame) -> DataFrame:
     return _keyed(docs).select(F.col("_key").alias("doc_id"), "text")
 
 
+#: What the last stage has written for itself.
+_left: set[str] = set()
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """A stage's own tables last until the next stage begins, which reads what the one before has written."""
+
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            remove(spark, _left.pop())
+        with written() as made:
+            out = f(spark, docs, sf_dir)
+        _left.update(made)
+        return out
+
+    return run_stage
+
+
+@_stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     scored = score_quality(docs, table(spark, sf_dir, "labels"), *docs.columns)
     return scored.where("predicted = 1").select(*docs.columns)
 
 
+@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the least doc_id of each group that the Jaccard join links, one without a doc_id only where all are."""
     found = jaccard_components(_by_key(docs)).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_group"))
@@ -48,6 +73,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns)
 
 
+@_stage
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold a window of a benchmark item."""
     hit = decontaminate(_by_key(docs), table(spark, sf_dir, "benchmark"))
@@ -56,11 +82,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return _keyed(docs).join(keys, "_key", "left_anti").select(*docs.columns)
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind and counts the characters anew."""
     return redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs what is left into sequences."""
     return pack(docs)
@@ -82,11 +110,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's rows are written before the next reads them."""
     docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        with temporary(spark):  # what a stage has written for itself goes with its input
-            kept = stage(spark, docs, sf_dir).write
-            to = new_path(spark, f"pipeline-{name}", keep=True)
-            kept.parquet(to)
+        docs, new = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
         if path:
             remove(spark, path)
-        docs, path = spark.read.schema(docs.schema).parquet(to), to
+        path = new
     return STAGES[-1][1](spark, docs, sf_dir)
