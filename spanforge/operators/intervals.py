@@ -157,7 +157,9 @@ def merge(ranges: DataFrame, min_gap: int = 0, block: int = 1 << 16) -> DataFram
     Intervals that overlap become one; those that only touch stay apart. With
     ``min_gap`` > 0 intervals closer than that are joined too.
     """
-    own = ranges.select(*COORDS).where("start < end").withColumn("_block", block_of("start", block)).withColumn("_reach", F.col("end"))
+    # of intervals with one start the longest stands for all, so that depth makes no block longer
+    longest = ranges.where("start < end").groupBy("seqname", "start").agg(F.max("end").alias("end"))
+    own = longest.withColumn("_block", block_of("start", block)).withColumn("_reach", F.col("end"))
     order = ["start", "end"]
     # the furthest end of what comes before a row decides whether it opens an island
     reach = carried(own, ["seqname"], order, "_block", "_reach", "max").withColumnRenamed("_reach", "_upto")
@@ -276,13 +278,39 @@ def random_ranges(genome: DataFrame, n: int, width: int, strands: bool = False,
     return placed.select("seqname", start.alias("start"), (start + width).alias("end"), strand.alias("strand"), F.col("id").alias("row_id"))
 
 
-def draw_regions(genome: DataFrame, n: int, width: int, avoid: DataFrame | None = None, seed: int = 0, rounds: int = 20) -> DataFrame:
-    """``n`` random regions that overlap no row of ``avoid``: over-sampled, checked, topped up."""
-    kept = None
-    for r in range(rounds):
-        fresh = random_ranges(genome, 2 * n, width, seed=seed + 101 * r).withColumn("row_id", F.col("row_id") + 2 * n * r)
-        free = overlap_anti(fresh, avoid) if avoid is not None else fresh
-        kept = free if kept is None else kept.unionByName(free)
-        if kept.count() >= n:
-            return kept.orderBy("row_id").limit(n)
-    raise ValueError(f"fewer than {n} free regions after {rounds} rounds")
+def draw_regions(genome: DataFrame, n: int, width: int, avoid: DataFrame | None = None, seed: int = 0, block: int = 1 << 16) -> DataFrame:
+    """``n`` random regions of ``width`` that overlap no row of ``avoid``, all free places equally likely.
+
+    A place is a start position. In each block of positions the places that
+    ``avoid`` leaves are gaps; blocks are numbered through by their places, and a
+    draw is a number that finds its block and in it its gap. Without a free
+    place it is an error.
+    """
+    spark = genome.sparkSession
+    usable = genome.where(F.col("length") >= width).select("seqname", F.explode(F.expr(f"sequence(0, (length - {width}) div {block})")).alias("_block"), (F.col("length") - width + 1).alias("_most"))
+    ends = usable.select("seqname", "_block", F.least((F.col("_block") + 1) * block, "_most").alias("_start"), F.lit(None).cast("long").alias("_end"))
+    places = ends
+    if avoid is not None:
+        taken = avoid.where("start < end").select("seqname", F.greatest(F.col("start") - width + 1, F.lit(0)).alias("_from"), F.col("end").alias("_to"))
+        spread = taken.where("_from < _to").withColumn("_block", F.explode(F.expr(f"sequence(_from div {block}, (_to - 1) div {block})")))
+        clipped = spread.select("seqname", "_block", F.greatest("_from", F.col("_block") * block).alias("_start"), F.least("_to", (F.col("_block") + 1) * block).alias("_end"))
+        longest = clipped.groupBy("seqname", "_block", "_start").agg(F.max("_end").alias("_end"))  # a row a position at most
+        places = ends.unionByName(longest.join(usable.select("seqname", "_block"), ["seqname", "_block"], "left_semi"))
+    # the row of a block's end comes last and closes its last gap
+    before = Window.partitionBy("seqname", "_block").orderBy("_start", F.col("_end").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.min(F.when(F.col("_end").isNull(), F.col("_start"))).over(Window.partitionBy("seqname", "_block"))
+    gaps = places.withColumn("_open", F.coalesce(F.max("_end").over(before), F.col("_block") * block)).withColumn("_stop", F.least("_start", last))
+    gaps = gaps.where("_open < _stop").select("seqname", "_block", F.col("_open").alias("_gap"), (F.col("_stop") - F.col("_open")).alias("_n"))
+    gaps = gaps.withColumn("_below", F.sum("_n").over(Window.partitionBy("seqname", "_block").orderBy("_gap").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n"))
+    # one row a block
+    sums = gaps.groupBy("seqname", "_block").agg(F.sum("_n").alias("_sum"))
+    edges = sums.withColumn("_hi", F.sum("_sum").over(Window.orderBy("seqname", "_block").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_lo", F.col("_hi") - F.col("_sum"))
+    total = edges.agg(F.max("_hi")).first()[0]
+    if not total:
+        raise ValueError("no region is free")
+    drawn = spark.range(n).withColumn("_at", F.floor(F.rand(seed) * total).cast("long")).withColumn("_step", F.expr(f"_at div {block}"))
+    steps = edges.withColumn("_step", F.explode(F.expr(f"sequence(_lo div {block}, (_hi - 1) div {block})"))).drop("_sum")
+    found = drawn.join(steps, "_step").where("_lo <= _at and _at < _hi").withColumn("_nth", F.col("_at") - F.col("_lo"))
+    placed = found.join(gaps, ["seqname", "_block"]).where("_below <= _nth and _nth < _below + _n")
+    start = F.col("_gap") + F.col("_nth") - F.col("_below")
+    return placed.select("seqname", start.alias("start"), (start + width).alias("end"), F.lit("*").alias("strand"), F.col("id").alias("row_id"))

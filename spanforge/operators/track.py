@@ -12,11 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import reduce as fold
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_of, carried, halo_window
+from .blocks import block_of, carried, halo_window, with_halo
 
 BLOCK = 1 << 14
 KEYS = ["seqname"]
@@ -310,8 +312,21 @@ def cross_correlation(a: Track, b: Track, start: int, stop: int, normalize: bool
         return both.select(F.lit(0).cast("long").alias("lag"), "y").limit(0)
     mx, my, scale = (s.mx, s.my, ((s.xx - s.mx**2) * (s.yy - s.my**2)) ** 0.5) if normalize else (0.0, 0.0, 1.0)
     lags = both.sparkSession.range(start // size * size, stop, size).select((F.col("id") if start % size == 0 else F.col("id") + start % size).alias("lag"))
-    # a bounded number of lags, each bin once for each
-    left = both.select("seqname", "bin", (F.col("x") - mx).alias("x")).crossJoin(F.broadcast(lags)).select("seqname", "lag", "x", (F.col("bin") + F.floor(F.col("lag") / size)).alias("bin"))
-    products = left.join(both.select("seqname", "bin", (F.col("y") - my).alias("y")), ["seqname", "bin"])
-    sums = products.groupBy("lag").agg(F.sum(F.col("x") * F.col("y")).alias("p"))
+    first, count = start // size, -(-(stop - start // size * size) // size)
+    centred = both.select("seqname", "bin", (F.col("x") - mx).alias("x"), (F.col("y") - my).alias("y"))
+    # blocks of bins with the bins that the lags reach, so that every lag of a block is one product of two arrays
+    width = max(4096, 4 * (abs(first) + count))
+    spread = with_halo(centred, "bin", max(0, -first), max(0, first + count), width)
+
+    def products(table: pa.Table) -> pa.Table:
+        bins, own = table.column("bin").to_numpy(), table.column("_own").to_numpy(zero_copy_only=False)
+        low = int(bins.min()) + min(first, 0)
+        x, y = np.zeros(int(bins.max()) - low + 1), np.zeros(int(bins.max()) - low + 1 + max(0, first + count))
+        x[bins[own] - low] = table.column("x").to_numpy()[own]
+        y[bins - low] = table.column("y").to_numpy()
+        at = np.flatnonzero(x)
+        p = [float((x[at] * y[at + k]).sum()) if len(at) else 0.0 for k in range(first, first + count)]
+        return pa.table({"lag": pa.array([k * size + start % size for k in range(first, first + count)], pa.int64()), "p": p})
+
+    sums = spread.groupBy("seqname", "_block").applyInArrow(products, "lag long, p double").groupBy("lag").agg(F.sum("p").alias("p"))
     return lags.join(sums, "lag", "left").select("lag", F.try_divide(F.coalesce("p", F.lit(0.0)) / s.n, F.lit(scale)).alias("y"))

@@ -291,6 +291,14 @@ def gene_lookup(spark, d):
     return G.last_by_name(V.genes(spark, d)).select("row_id", "names")
 
 
-@query()
+@query("select 200 as regions, 30 as least_width, 30 as largest_width, 0 as overlapping, 0 as outside")
 def random_regions(spark, d):
-    return I.draw_regions(V.genome(spark, d), 200, 30, I.filter_strand(V.iv_s(spark, d), "-"), seed=5)
+    """What holds of any draw: how many regions, their widths, none on an avoided one or beyond its sequence."""
+    avoid = I.filter_strand(V.iv_s(spark, d), "-")
+    drawn = I.draw_regions(V.genome(spark, d), 200, 30, avoid, seed=5)
+    width = F.col("end") - F.col("start")
+    marks = I.overlap_semi(drawn, avoid).agg(F.count("*").alias("overlapping"))
+    whole = drawn.join(V.genome(spark, d), "seqname", "left").agg(
+        F.count("*").alias("regions"), F.min(width).alias("least_width"), F.max(width).alias("largest_width"), F.count_if(F.coalesce((F.col("start") < 0) | (F.col("end") > F.col("length")), F.lit(True))).alias("outside")
+    )
+    return whole.crossJoin(F.broadcast(marks))  # one row

@@ -319,3 +319,59 @@ def test_tools(spark, tmp_path):
         tools.bigwig_extract_chroms(spark, bw, ["zz"], bw2)
     (tmp_path / "ref.fa").write_text(">r\nacgt\n")
     assert tools.sequence_similarity(spark, fa, str(tmp_path / "ref.fa"), K.Relation(2, 2)).agg(F.max("similarity")).first()[0] == pytest.approx(1.0)
+
+
+def test_long_sequences_take_linear_time(spark):
+    import time
+
+    r = random.Random(2)
+    seq = "".join(r.choice("acgt") for _ in range(1_000_000))
+    df = spark.createDataFrame([("long", seq), ("odd", "acé" + seq[:70_000])], "name string, sequence string")
+    began = time.time()
+    n = Q.windows(df.where("name = 'long'"), 6).agg(F.count("*"), F.max("at")).first()
+    assert tuple(n) == (999_995, 999_994) and time.time() - began < 10
+    at = {(x.name, x["at"]): x.kmer for x in Q.windows(df, 8).where("at in (0, 3, 65530, 65536, 65540, 131071, 999992)").collect()}
+    assert all(v == (seq[a : a + 8] if name == "long" else ("ac?" + seq)[a : a + 8]) for (name, a), v in at.items()) and len(at) == 12
+
+
+@pytest.mark.parametrize("size", [4, 1000])
+def test_extract_across_pieces(spark, size):
+    s = spark.createDataFrame([("a", "acgtacgtaa"), ("b", "ACGTACGT"), ("c", "")], "name string, sequence string")
+    rows = [("a", 0, 10), ("a", 3, 9), ("a", 4, 4), ("a", 10, 10), ("b", 7, 8), ("b", 8, 8), ("c", 0, 0), ("b", 0, 4)]
+    text = {"a": "acgtacgtaa", "b": "ACGTACGT", "c": ""}
+    got = {x.row_id: (x.seqname, x.sequence) for x in Q.extract(s, iv(spark, rows), size).collect()}
+    assert got == {i: (n, text[n][a:b]) for i, (n, a, b) in enumerate(rows)}
+    for bad in (("a", 9, 11), ("x", 0, 1), ("b", 9, 9)):
+        with pytest.raises(Exception, match="outside the sequence"):
+            Q.extract(s, iv(spark, [bad]), size).collect()
+
+
+def test_draws_from_what_is_free(spark):
+    genome = spark.createDataFrame([("a", 100), ("b", 40), ("c", 3)], "seqname string, length long")
+    avoid = iv(spark, [("a", 0, 20), ("a", 10, 60), ("a", 65, 90), ("b", 5, 35), ("z", 0, 9), ("a", 62, 62)])
+    for block in (8, 1 << 16):
+        got = I.draw_regions(genome, 600, 5, avoid, seed=3, block=block).collect()
+        # free: [60, 65), [90, 100) on a, [0, 5) and [35, 40) on b
+        assert {(x.seqname, x.start) for x in got} == {("a", 60), *(("a", p) for p in range(90, 96)), ("b", 0), ("b", 35)}
+        assert len(got) == 600 and all(x.end - x.start == 5 for x in got) and len({x.row_id for x in got}) == 600
+    with pytest.raises(ValueError, match="free"):
+        I.draw_regions(genome, 1, 30, iv(spark, [("a", 20, 80), ("b", 20, 21)]))
+    assert I.draw_regions(genome, 7, 3).count() == 7
+
+
+def test_cross_correlation_over_blocks(spark):
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    x, y = r.normal(size=9000), r.normal(size=9000)
+    genome = spark.createDataFrame([("a", 90_000)], "seqname string, length long")
+    track = lambda v: T.Track(spark.createDataFrame([("a", i, float(z)) for i, z in enumerate(v)], "seqname string, bin long, value double"), 10, genome)
+    for start, stop in ((0, 60), (-30, 25), (7, 40)):
+        got = {k.lag: k.y for k in T.cross_correlation(track(x), track(y), start, stop).collect()}
+        a, b = x - x.mean(), y - y.mean()
+        want = {}
+        for lag in range(start // 10 * 10, stop, 10):
+            k = lag // 10
+            p = (a[max(0, -k) : 9000 - max(0, k)] * b[max(0, k) : 9000 + min(0, k)]).sum()
+            want[lag + start % 10] = p / 9000 / (x.var() * y.var()) ** 0.5
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
