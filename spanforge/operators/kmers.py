@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import complement, revcomp
-from .sequences import windows
+from .sequences import as_bytes, windows
 
 #: Letters in code order, and the bases each stands for (fixed values).
 ALPHABETS = {
@@ -216,8 +216,8 @@ def similarities(sequences: DataFrame, reference: str, relation: Relation, measu
     ref = ref.select("k", "kmer", F.col("count").alias("x"))
     delta = F.length("sequence") - length
     starts = F.explode(F.sequence(F.lit(0), delta - step, F.lit(step)))
-    cut = sequences.where(delta >= step).select("name", starts.alias("start"), "sequence")
-    cut = cut.select(F.struct("name", "start").alias("name"), F.substring(F.col("sequence"), F.col("start") + 1, F.lit(length)).alias("sequence"))
+    cut = sequences.where(delta >= step).select("name", starts.alias("start"), as_bytes(F.col("sequence")).alias("sequence"))
+    cut = cut.select(F.struct("name", "start").alias("name"), F.substring(F.col("sequence"), F.col("start") + 1, F.lit(length)).cast("string").alias("sequence"))
     counts = count_kmers(cut, relation, binary).withColumnRenamed("count", "y")
     # the reference's classes fit in one window's k-mers
     met = counts.join(F.broadcast(ref), ["k", "kmer"], "left")

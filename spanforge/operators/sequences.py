@@ -11,7 +11,7 @@ from ..functions.scalar import observed_over_expected_cpg
 PIECE = 1 << 16
 
 
-def _bytes(sequence: Column) -> Column:
+def as_bytes(sequence: Column) -> Column:
     """One byte a letter, others than ASCII as ``?``: a piece of bytes is found at once, of text only by walking there."""
     plain = F.octet_length(sequence) == F.char_length(sequence)
     return F.when(plain, sequence).otherwise(F.regexp_replace(sequence, r"[^\x00-\x7F]", "?")).cast("binary")
@@ -22,7 +22,7 @@ def pieces(sequences: DataFrame, overlap: int, size: int = PIECE) -> DataFrame:
 
     A window of up to ``overlap`` + 1 bases that starts in a piece lies in it.
     """
-    own = sequences.withColumn("sequence", _bytes(F.col("sequence")))
+    own = sequences.withColumn("sequence", as_bytes(F.col("sequence")))
     starts = F.sequence(F.lit(0), F.greatest(F.octet_length("sequence") - 1, F.lit(0)), F.lit(size))
     cut = own.withColumn("offset", F.explode(starts))
     return cut.withColumn("sequence", F.substring(F.col("sequence"), F.col("offset") + 1, F.lit(size + overlap)))
@@ -63,7 +63,7 @@ def extract(sequences: DataFrame, regions: DataFrame, size: int = PIECE) -> Data
     a whole chromosome and a long sequence is spread over tasks.
     """
     columns = regions.columns
-    own = sequences.select(F.col("name").alias("seqname"), _bytes(F.col("sequence")).alias("_s"))
+    own = sequences.select(F.col("name").alias("seqname"), as_bytes(F.col("sequence")).alias("_s"))
     at = F.sequence(F.lit(0), F.octet_length("_s").cast("long"), F.lit(size).cast("long"))  # with a last piece for what ends at the end
     cut = own.withColumn("_at", F.explode(at)).select("seqname", (F.col("_at") / size).cast("long").alias("_piece"), F.substring(F.col("_s"), (F.col("_at") + 1).cast("int"), F.lit(size)).alias("_s"))
     valid = F.when((F.col("start") < 0) | (F.col("start") > F.col("end")), F.raise_error("range outside the sequence")).otherwise(F.col("start"))

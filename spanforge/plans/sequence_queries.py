@@ -176,7 +176,10 @@ def pwm_binned(spark, d):
     return M.binned_scores(V.dna(spark, d), MATRIX, 25, "mean").withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(
+    and_views("dna", "cut as (select name || ':5:20' as name, substr(sequence, 6, 15) as sequence from dna where length(sequence) > 20),\n" + SCORES.replace("from dna,", "from cut,")
+    + "select cut.name, max(f) as forward, max(r) as reverse, greatest(max(f), max(r)) as best from cut left join s using (name) group by cut.name")
+)
 def pwm_regions(spark, d):
     """The best score of each region, extracted from its sequence."""
     s = V.dna(spark, d)

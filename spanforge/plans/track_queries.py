@@ -149,9 +149,10 @@ def track_reduce(spark, d):
     return trk(spark, d).reduce(F.max("value"))
 
 
-@query()
+@query(with_views("trk", "select seqname, round(sum(value * pow(0.5, k)), 6) as value from (select seqname, value, row_number() over (partition by seqname order by bin desc) - 1 as k from trk where value is not null) group by seqname"))
 def track_fold(spark, d):
-    return trk(spark, d).fold(lambda a, v: a if v is None or v != v else 0.5 * a + v, 0.0)
+    """Each value counts half as much as the one after it."""
+    return rounded(trk(spark, d).fold(lambda a, v: a if v is None or v != v else 0.5 * a + v, 0.0), "value")
 
 
 @query(with_views("trk", "select seqname, bin, round(ln(value + 1), 6) as value from trk"))
@@ -397,16 +398,42 @@ def segmentation_track(spark, d):
     return S.states_to_track(segments, V.genome(spark, d), 10, "s0")[0].rows
 
 
-@query()
+_COLOURS = ", ".join(f"({i}, '{c}')" for i, c in enumerate(S.palette(7)))
+
+
+@query(
+    and_views(
+        "iv_q genome",
+        f"""seg as (select *, 's' || (row_id % 7) as name from iv_q),
+states as (select name, row_number() over (order by min(row_id)) as state from seg where name <> 's0' group by name union all select 's0', 0),
+cells as (select seqname, cast(floor(p / 10) as bigint) as bin, max_by(state, row_id) as state from (select seqname, row_id, name, unnest(range(start, "end", 10)) as p from seg) join states using (name) group by 1, 2),
+bins as (select seqname, bin, coalesce(state, 0) as state from (select seqname, unnest(range(length // 10)) as bin from genome) left join cells using (seqname, bin)),
+runs as (select *, bin - row_number() over (partition by seqname, state order by bin) as run from bins),
+colours(k, colour) as (values {_COLOURS})
+select seqname, min(bin) * 10 as start, max(bin) * 10 + 10 as "end", case when state = 0 then 'none' else cast(state as varchar) end as name, cast(100 * state as bigint) as score, '.' as strand,
+  min(bin) * 10 as "thickStart", max(bin) * 10 + 10 as "thickEnd", colour as "itemRgb" from runs join colours on k = state group by seqname, state, run, colour""",
+    )
+)
 def segmentation_rows(spark, d):
     segments = V.iv_q(spark, d).withColumn("name", F.concat(F.lit("s"), F.col("row_id") % 7))
     track, _ = S.states_to_track(segments, V.genome(spark, d), 10, "s0")
     return S.track_to_segments(track, {0: "none"}, dict(enumerate(S.palette(7))), track)
 
 
-@query()
+@query(
+    "with recursive "
+    + with_views(
+        "trk",
+        """,
+r as (select seqname, bin * 10 as a, bin * 10 + 10 as z, value as v from trk where value is not null),
+w as (select seqname, min(a) as s from r group by seqname union all select w.seqname, (select min(a) from r where r.seqname = w.seqname and r.a >= w.s + 70) as s from w where w.s is not null),
+g as (select w.seqname, w.s, r.a, r.z, r.v, r.a - lag(r.z) over (partition by w.seqname, w.s order by r.a) as gap from w join r on r.seqname = w.seqname and r.a >= w.s and r.a < w.s + 70)
+select seqname, s as start, max(z) as "end", cast(count(*) + coalesce(sum(gap), 0) as double) as valid, min(case when gap > 0 then least(v, 0) else v end) as min, max(case when gap > 0 then greatest(v, 0) else v end) as max,
+  round(sum(v), 6) as sum, round(sum(v * v), 4) as sum_squares from g group by seqname, s""",
+    ).removeprefix("with ").replace("\n,\n", ",\n")
+)
 def packed_records(spark, d):
     rows = trk(spark, d).rows.where("value is not null").select("seqname", (F.col("bin") * 10).alias("start"), (F.col("bin") * 10 + 10).alias("end"), "value")
-    return U.adjacent_records(rows, 70)
+    return U.adjacent_records(rows, 70).withColumns({"sum": F.round("sum", 6), "sum_squares": F.round("sum_squares", 4)})
 
 

@@ -94,15 +94,16 @@ def read_table(spark: SparkSession, path: str, types: dict[str, str] | None = No
 
     Without ``types`` every column besides the coordinates is a list of strings.
     """
-    first = spark.read.text(path).limit(1).collect()
+    # the header is the first line of the first file that has one; a scan begins with the largest file
+    first = next((r for f in sorted(spark.read.text(path).inputFiles()) for r in spark.read.text(f).limit(1).collect()), None)
     if not first:
         raise ValueError("table has no header")
-    header = [h for h in first[0].value.split()]
+    header = [h for h in first.value.split()]
     at = {}
     for i, h in enumerate(h for h in header if h != "|"):
         at.setdefault(h, i)
     place = lambda *names: next((at[n] for n in names if n in at), None)
-    body = lines(spark, path).where(F.trim("value") != F.lit(first[0].value.strip()))
+    body = lines(spark, path).where(F.trim("value") != F.lit(first.value.strip()))
     # the bar stands between coordinates and metadata
     f = body.withColumn("_f", F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "|"))
     out = []
