@@ -6,10 +6,11 @@ file, a ``line`` number is made from the file's sorted offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.track import clean
+from ..shared import write_table
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -295,26 +296,73 @@ def write_fasta(sequences: DataFrame, path: str, compress: bool = False) -> None
     write_text(sequences, body, path, compress, ["ord"] if "ord" in sequences.columns else None)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line): the lines of text files with their number in the file, from 0, in order within each task.
+
+    Lines are counted for each split of a file first; a table of one row a split
+    then says where each begins.
+    """
+    own = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"))
+    splits = own.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1))
+    begins = splits.withColumn("before", F.coalesce(before, F.lit(0))).select("file", "split", "first", "before")
+    # one row for each split of spark.sql.files.maxPartitionBytes
+    met = own.join(F.broadcast(begins), ["file", "split"])
+    return met.select("value", "file", (F.col("before") + F.col("id") - F.col("first")).alias("line"))
+
+
+def _record(lines: list[str], at: int) -> tuple[str, str, str, int]:
+    if len(lines) < 4 or lines[0][:1] != "@" or lines[2][:1] != "+" or len(lines[1]) != len(lines[3]):
+        raise ValueError(f"bad FASTQ record at line {at + 1}")
+    return lines[0][1:], lines[1], lines[3], at
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(header, sequence, qualities, line) of strict four-line records; a file is read in one task."""
-    import gzip
+    """(header, sequence, qualities, line) of strict four-line records; a plain file is read in splits.
 
+    A task puts together the records that lie in its split; the lines of records
+    that two splits share are gathered by record.
+    """
     import pandas as pd
 
-    def parse(frames):
-        for frame in frames:
-            rows = []
-            for content in frame["content"]:
-                raw = bytes(content)
-                text = (gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw).decode().splitlines()
-                for i in range(0, len(text), 4):
-                    r = text[i : i + 4]
-                    if len(r) < 4 or r[0][:1] != "@" or r[2][:1] != "+" or len(r[1]) != len(r[3]):
-                        raise ValueError(f"bad FASTQ record at line {i + 1}")
-                    rows.append((r[0][1:], r[1], r[3], i))
-            yield pd.DataFrame(rows, columns=["header", "sequence", "qualities", "line"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, "header string, sequence string, qualities string, line long")
+    schema = "header string, sequence string, qualities string, line long"
+
+    def run(frames):
+        file, held, at = None, [], 0
+
+        def rest():
+            return [(file, at + i, x) for i, x in enumerate(held)]
+
+        for f in frames:
+            whole, parts = [], []
+            for value, name, line in zip(f["value"].tolist(), f["file"].tolist(), f["line"].tolist(), strict=True):
+                if held and (name != file or line != at + len(held)):
+                    parts += rest()
+                    held = []
+                if not held:
+                    file, at = name, line
+                held.append(value)
+                if line % 4 == 3:
+                    if len(held) == 4:
+                        whole.append(_record(held, at))
+                    else:
+                        parts += rest()
+                    held = []
+            yield pd.DataFrame(whole, columns=["header", "sequence", "qualities", "line"]).assign(file=None, value=None)
+            yield pd.DataFrame(parts, columns=["file", "line", "value"]).assign(header=None, sequence=None, qualities=None)
+        yield pd.DataFrame(rest(), columns=["file", "line", "value"]).assign(header=None, sequence=None, qualities=None)
+
+    def gathered(key, frame):
+        frame = frame.sort_values("line")
+        at = 4 * int(key[1])
+        if frame["line"].tolist() != list(range(at, at + 4)):
+            raise ValueError(f"bad FASTQ record at line {at + 1}")
+        return pd.DataFrame([_record(frame["value"].tolist(), at)], columns=["header", "sequence", "qualities", "line"])
+
+    # written, as the file would be read and put together once for each part else
+    each, _ = write_table(numbered_lines(spark, path).mapInPandas(run, schema + ", file string, value string"), "fastq")
+    parts = each.where("file is not null").groupBy("file", F.expr("line div 4")).applyInPandas(gathered, schema)
+    return each.where("file is null").select("header", "sequence", "qualities", "line").unionByName(parts)
 
 
 def write_fastq(records: DataFrame, path: str, compress: bool = False) -> None:

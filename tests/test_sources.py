@@ -199,3 +199,64 @@ def test_nan_is_null(spark):
 
     out = spark.createDataFrame([(float("nan"),), (1.0,), (None,)], "v double").select(clean(F.col("v")).alias("v")).collect()
     assert [r.v for r in out] == [None, 1.0, None]
+
+
+def test_fastq_in_splits(spark, tmp_path):
+    """Records that splits cut anywhere are put together; a short last record is an error."""
+    rows = [(f"r{i} {'x' * (i % 5)}", "ACGT" * (1 + i % 7), "@+I#" * (1 + i % 7)) for i in range(150)]
+    body = "".join(f"@{h}\n{s}\n+\n{q}\n" for h, s, q in rows)
+    for name in ("a.fq", "b.fq"):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        write(tmp_path / "in" / name, body)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("61", "500", "100000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = sorted((r.line, r.header, r.sequence, r.qualities) for r in text.read_fastq(spark, str(tmp_path / "in")).collect())
+            assert got == sorted(((4 * i, *x) for i, x in enumerate(rows) for _ in range(2)))
+            with pytest.raises(Exception, match="bad FASTQ record"):
+                text.read_fastq(spark, write(tmp_path / "c.fq", body + "@r\nAC\n")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_tools_on_alignments_and_signals(spark, tmp_path):
+    from spanforge.operators import coverage as C
+    from spanforge.plans import tools
+
+    refs = [("chr1", 1000), ("chr2", 500)]
+    head = b"BAM\1" + struct.pack("<i", 0) + struct.pack("<i", len(refs)) + b"".join(struct.pack("<i", len(n) + 1) + n.encode() + b"\0" + struct.pack("<i", z) for n, z in refs)
+    reads = [("s1", 0, 0, 100), ("s2", 16, 0, 400), ("s3", 0, 1, 50), ("s4", 1024, 0, 100), ("s5", 256, 0, 100), ("s6", 512, 1, 50)]
+    raw = head + b"".join(record(ref, pos, flag, n, [(4, "M")], "ACGT") for n, flag, ref, pos in reads)
+    (tmp_path / "a.bam").write_bytes(gzip.compress(raw))
+    a = str(tmp_path / "a.bam")
+    assert tools.bam_genome(spark, a).count() == 2 and tools.bam_view(spark, a, ["cigar"]).count() == 6
+    assert {r.row_id for r in tools.bam_check_bin(spark, a).collect()} <= set(range(6))
+    fq = {r.header: (r.mate, r.sequence) for r in tools.bam_to_fastq(spark, a).collect()}
+    assert fq == {"s1": (0, "ACGT"), "s2": (0, "ACGT"), "s3": (0, "ACGT"), "s4": (0, "ACGT")}
+    write(tmp_path / "a.fq", "".join(f"@{n}\nACGT\n+\nIIII\n" for n in ("s1", "s2", "s9")))
+    assert tools.bam_check_fastq(spark, a, [str(tmp_path / "a.fq")]).count() > 0
+    bw = str(tmp_path / "cov.bw")
+    track = tools.bam_to_bigwig(spark, [a], bw, C.CoverageOptions(bin_size=10))
+    back = {(r.seqname, r.bin): r.value for r in bigwig.read_track(spark, bw, 10).rows.collect()}
+    want = {(r.seqname, r.bin): r.value for r in track.rows.collect()}
+    assert back.keys() == want.keys() and all((back[k] or 0) == pytest.approx(want[k] or 0) for k in want) and sum(v or 0 for v in want.values()) > 0
+    out = str(tmp_path / "out.bw")
+    tools.bigwig_nil(spark, bw, out, 10)
+    assert bigwig.read_track(spark, out, 10).rows.exceptAll(bigwig.read_track(spark, bw, 10).rows).count() == 0
+    tools.bigwig_quantile_normalize(spark, bw, bw, out)
+    assert tools.bigwig_statistics(spark, out).first()["max"] == tools.bigwig_statistics(spark, bw).first()["max"]
+    genome = write(tmp_path / "g.txt", "chr1\t1000\nchr2\t500\n")
+    avoid = write(tmp_path / "avoid.bed", "chr1\t0\t900\n")
+    drawn = tools.draw_genomic_regions(spark, genome, 50, 40, avoid).collect()
+    assert len(drawn) == 50 and all(r.seqname == "chr2" or r.start >= 900 for r in drawn)
+    gtf = write(tmp_path / "a.gtf", 'chr1\tx\texon\t5\t90\t.\t+\t.\tgene_id "g1"\nchr1\tx\texon\t200\t300\t.\t+\t.\tgene_id "g1"\n')
+    assert [r.name for r in tools.gtf_to_bed(spark, gtf).collect()] == ["exon", "exon"]
+    (merged,) = tools.gtf_to_bed(spark, gtf, "gene_id").collect()
+    assert (merged.start, merged.end) == (5, 300)
+    for n, rows in (("s1", "chr1\t0\t100\tA\t0\t.\nchr1\t300\t500\tB\t0\t.\n"), ("s2", "chr1\t50\t150\tA\t0\t.\nchr2\t0\t100\tA\t0\t.\n")):
+        write(tmp_path / f"{n}.bed", rows)
+    diff = tools.segmentation_differential(spark, [str(tmp_path / "s1.bed"), str(tmp_path / "s2.bed")], ["A"], [bw, bw]).collect()
+    assert sorted((r.seqname, r.start, r.end, tuple(r.labels)) for r in diff) == [("chr1", 0, 150, (0, 1)), ("chr2", 0, 100, (1,))]
