@@ -92,3 +92,8 @@ def fastq_quality(quality: Column, seq: Column, reverse: Column, fill: str | Non
     missing = quality.isNull() | (quality == "") | (quality == "*")
     instead = F.raise_error("qualities are missing") if fill is None else F.repeat(F.lit(fill), F.length(seq))
     return F.when(missing, instead).when(reverse, F.reverse(quality)).otherwise(quality)
+
+
+def distinct_first(values: Column) -> Column:
+    """An array's distinct values in the order of their first occurrence."""
+    return F.array_distinct(values)

@@ -56,3 +56,16 @@ def carried(df: DataFrame, keys: list[str], order: list[str], block: str, own: s
     joined = run.join(prior, [*keys, block], "left")
     value = F.greatest("__run", "__prior") if how == "max" else F.coalesce("__run", "__prior")
     return joined.withColumn(own, value).drop("__run", "__prior")
+
+
+def counted_before(df: DataFrame, keys: list[str], block: str, own: str, out: str, sign: int = 1, size: int = 4096) -> DataFrame:
+    """Adds ``out``: how many rows of the key before this one, in the order of ``block`` times ``sign``, have a value in ``own``.
+
+    Rows are counted within runs of ``size`` blocks; only one row a run is looked at across them.
+    """
+    placed = df.withColumn("__at", F.col(block) * sign).withColumn("__run", block_of("__at", size))
+    inside = Window.partitionBy(*keys, "__run").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    runs = placed.groupBy(*keys, "__run").agg(F.count(own).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    prior = runs.withColumn("__prior", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    return placed.withColumn(out, F.count(own).over(inside)).join(prior, [*keys, "__run"]).withColumn(out, F.col(out) + F.col("__prior")).drop("__at", "__run", "__prior")

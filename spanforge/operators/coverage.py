@@ -119,6 +119,15 @@ def _scaled(track: Track, n: DataFrame, o: CoverageOptions, pseudocount: float)
     return track.map(lambda v: v * c), pseudocount * c
 
 
+def for_estimate(source: DataFrame, o: CoverageOptions) -> DataFrame:
+    """The single reads by which a source's fragment length is estimated."""
+    return R.filtered(R.paired_as_single(source, o.paired_as_single_end), single_only=True, no_duplicates=o.filter_duplicates, mapq=o.filter_mapq, lengths=o.filter_read_lengths)
+
+
+def estimated_length(source: DataFrame, genome: DataFrame, o: CoverageOptions) -> int:
+    return fragment_length(for_estimate(source, o), genome, o.max_delay, o.fraglen_bin_size, o.fraglen_range).first().fragment_length
+
+
 def coverage_pipeline(treatment: list[DataFrame], genome: DataFrame, options: CoverageOptions | None = None, control: list[DataFrame] | None = None, fraglen: list[int] | None = None, fraglen_control: list[int] | None = None) -> Track:
     """Reads of one or more sources to a normalised coverage track.
 
@@ -133,8 +142,7 @@ def coverage_pipeline(treatment: list[DataFrame], genome: DataFrame, options: Co
         for i, source in enumerate(sources):
             d = (lengths or [0] * len(sources))[i]
             if o.estimate_fraglen and not d:
-                single = R.filtered(R.paired_as_single(source, o.paired_as_single_end), single_only=True, no_duplicates=o.filter_duplicates, mapq=o.filter_mapq, lengths=o.filter_read_lengths)
-                d = fragment_length(single, genome, o.max_delay, o.fraglen_bin_size, o.fraglen_range).first().fragment_length
+                d = estimated_length(source, genome, o)
             part = R.extend(_of_filter(source, o), d).select("seqname", "start", "end", "strand", "paired_end")
             total = part if total is None else total.unionByName(part)
         return coverage(total, genome, o.bin_size, 0, o.binning_method, o.initial_value)

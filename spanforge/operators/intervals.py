@@ -12,7 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import block_of, carried
+from ..shared import write_table
+from .blocks import block_of, carried, counted_before
 
 #: Width of the finest bins of an overlap join, and how much wider each next level is.
 BIN = 1 << 10
@@ -135,9 +136,7 @@ def _beside(query: DataFrame, subject: DataFrame, k: int, size: int, side: str)
     tops = s.withColumn("_n", F.row_number().over(inward)).where(F.col("_n") <= k).groupBy("seqname", "block").agg(F.collect_list(F.struct("at", "s_id")).alias("top"))
     blocks = q.select("seqname", "block").distinct().join(tops, ["seqname", "block"], "full_outer")
     # k blocks with subjects hold k subjects; blocks without pass on what they are given
-    filled = F.when(F.col("top").isNotNull(), F.struct("block", "top"))
-    way = Window.partitionBy("seqname").orderBy(F.col("block") * sign)
-    ranked = blocks.withColumn("_filled", F.count("top").over(way.rowsBetween(Window.unboundedPreceding, -1)))
+    ranked = counted_before(blocks, ["seqname"], "block", "top", "_filled", sign)
     have = ranked.where("top is not null").select("seqname", F.col("_filled").alias("nth"), "top")
     asked = ranked.join(q.select("seqname", "block").distinct(), ["seqname", "block"]).where("_filled > 0").select("seqname", "block", F.explode(F.sequence(F.greatest(F.col("_filled") - k, F.lit(0)), F.col("_filled") - 1)).alias("nth"))
     carried_in = asked.join(have, ["seqname", "nth"]).select("seqname", "block", F.explode("top").alias("t")).select("seqname", "block", "t.at", "t.s_id")
@@ -179,7 +178,8 @@ def merge_many(sets: list[DataFrame], min_gap: int = 0) -> DataFrame:
 
 
 def label_regions(regions: DataFrame, sets: list[DataFrame]) -> DataFrame:
-    """``regions`` with ``labels``, the sorted numbers of the sets that overlap each."""
+    """``regions`` with ``labels``, the sorted numbers of the sets that overlap each. The regions are written first, as they are read three times."""
+    regions, _ = write_table(regions, "regions")
     tagged = reduce(DataFrame.unionByName, [s.select(*COORDS, "row_id", F.lit(i).alias("_set")) for i, s in enumerate(sets)])
     ids = tagged.withColumn("row_id", F.struct("_set", "row_id"))
     hit = overlaps(regions, ids).groupBy("q_id").agg(F.sort_array(F.collect_set("s_id._set")).alias("labels"))

@@ -219,8 +219,7 @@ def similarities(sequences: DataFrame, reference: str, relation: Relation, measu
     cut = sequences.where(delta >= step).select("name", starts.alias("start"), as_bytes(F.col("sequence")).alias("sequence"))
     cut = cut.select(F.struct("name", "start").alias("name"), F.substring(F.col("sequence"), F.col("start") + 1, F.lit(length)).cast("string").alias("sequence"))
     counts = count_kmers(cut, relation, binary).withColumnRenamed("count", "y")
-    # the reference's classes fit in one window's k-mers
-    met = counts.join(F.broadcast(ref), ["k", "kmer"], "left")
+    met = counts.join(ref, ["k", "kmer"], "left")
     sums = cut.select("name").join(met.groupBy("name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("y") * F.col("y")).alias("b")), "name", "left")
     a = ref.agg(F.sum(F.col("x") * F.col("x")).alias("a"), F.count("*").alias("n")).first()
     dot, b = F.coalesce("dot", F.lit(0)), F.coalesce("b", F.lit(0))

@@ -7,6 +7,7 @@ position. A query takes the coarsest level that divides its bins.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,7 +32,10 @@ SUMMARIES = {
 }
 
 
-def summary(name: str, s=F.col) -> Column:
+def summary(name: str | Callable[[Callable[[str], Column]], Column], s=F.col) -> Column:
+    """A summary by its name, or one of the caller's: a function that gets a function from a statistic's name to its column."""
+    if callable(name):
+        return name(s).cast("double")
     if name not in SUMMARIES:
         raise ValueError(f"summary {name!r} is none of {sorted(SUMMARIES)}")
     return SUMMARIES[name](s).cast("double")

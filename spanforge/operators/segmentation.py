@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import write_table
 from .intervals import label_regions, merge_many, resize_center
 from .rollup import keep_scored, region_score
 from .track import Track, grid
@@ -27,7 +28,7 @@ def states_to_track(segments: DataFrame, genome: DataFrame, bin_size: int, defau
         states = states.unionByName(segments.sparkSession.createDataFrame([(0, default)], "state long, name string"))
     steps = F.sequence(F.col("start"), F.col("end") - 1, F.lit(bin_size).cast("long"))
     bins = F.explode(F.transform(steps, lambda p: F.floor(p / bin_size)))
-    cells = segments.where("start < end").join(F.broadcast(states), "name").select("seqname", bins.alias("bin"), "row_id", "state")
+    cells = segments.where("start < end").join(states, "name").select("seqname", bins.alias("bin"), "row_id", "state")
     last = cells.groupBy("seqname", "bin").agg(F.max_by("state", "row_id").cast("double").alias("value"))
     rows = grid(genome, bin_size).join(last, ["seqname", "bin"], "left")
     if default:
@@ -71,7 +72,7 @@ def differential(sets: list[DataFrame], scores: list[Track], labels: list[str] |
     kept = [s for s in sets]
     for track, threshold, above in filters:
         kept = [keep_scored(s, track, threshold, above) for s in kept]
-    regions = merge_many(kept).withColumn("row_id", F.struct("seqname", "start"))
+    regions, _ = write_table(merge_many(kept).withColumn("row_id", F.struct("seqname", "start")), "regions")
     labelled = label_regions(regions, kept)
     each = reduce(DataFrame.unionByName, [region_score(regions, t, "max").withColumn("_set", F.lit(i)) for i, t in enumerate(scores)])
     met = labelled.join(each, "row_id").withColumn("_pos", F.array_contains("labels", F.col("_set")))

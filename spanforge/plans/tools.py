@@ -17,6 +17,7 @@ from ..operators import segmentation as S
 from ..operators import sequences as Q
 from ..operators import track as T
 from ..operators.reads import flag_bit
+from ..shared import write_table
 from ..sources import bam as B
 from ..sources import bigwig as W
 from ..sources import motif_files, text
@@ -39,15 +40,42 @@ def bam_genome(spark: SparkSession, path: str) -> DataFrame:
     return B.read_genome(spark, path)
 
 
-def bam_to_bigwig(spark: SparkSession, treatment: list[str], out: str, options: C.CoverageOptions | None = None, control: list[str] = (), fraglen: list[int] | None = None, fraglen_control: list[int] | None = None) -> T.Track:
-    """Coverage of alignment files, which share one genome, written as a signal file."""
+def bam_to_bigwig(
+    spark: SparkSession, treatment: list[str], out: str, options: C.CoverageOptions | None = None, control: list[str] = (), fraglen: list[int] | None = None, fraglen_control: list[int] | None = None,
+    save_fraglen: bool = False, save_cross_correlation: bool = False,
+) -> T.Track:
+    """Coverage of alignment files, which share one genome, written as a signal file.
+
+    Reads are parsed once. For every file whose fragment length is estimated,
+    ``save_fraglen`` writes it to NAME.fraglen.txt beside the file and
+    ``save_cross_correlation`` the lags with their correlation to NAME.fraglen.table.
+    """
     o = options or C.CoverageOptions()
     genomes = [B.read_genome(spark, p).select("seqname", "length") for p in [*treatment, *control]]
     for g in genomes[1:]:
         if g.exceptAll(genomes[0]).union(genomes[0].exceptAll(g)).limit(1).count():
             raise ValueError("alignment files have different genomes")
-    reads = lambda paths: [B.simple_reads(B.read_bam(spark, p, ["read_name", "cigar"]), not o.paired_as_single_end, o.paired_end_strand_specific) for p in paths]
-    track = C.coverage_pipeline(reads(treatment), genomes[0], o, reads(control) or None, fraglen, fraglen_control)
+
+    def reads(paths: list[str]) -> list[DataFrame]:
+        each = (B.simple_reads(B.read_bam(spark, p, ["read_name", "cigar"]), not o.paired_as_single_end, o.paired_end_strand_specific) for p in paths)
+        return [write_table(r, "reads")[0] for r in each]
+
+    def lengths(paths: list[str], sources: list[DataFrame], given: list[int] | None) -> list[int]:
+        found = list(given or [0] * len(paths))
+        for i, (path, source) in enumerate(zip(paths, sources, strict=True)):
+            if not o.estimate_fraglen or found[i]:
+                continue
+            name = path.removesuffix(".bam")
+            found[i] = C.estimated_length(source, genomes[0], o)
+            if save_fraglen:
+                text.write_text(spark.range(1), F.lit(str(found[i])), f"{name}.fraglen.txt")
+            if save_cross_correlation:
+                lags, _, _ = C.cross_correlate_reads(C.for_estimate(source, o), genomes[0], o.max_delay, o.fraglen_bin_size)
+                text.write_text(lags, F.concat_ws("\t", F.col("lag"), F.col("y")), f"{name}.fraglen.table", order=["lag"])
+        return found
+
+    own, other = reads(treatment), reads(control)
+    track = C.coverage_pipeline(own, genomes[0], o, other or None, lengths(treatment, own, fraglen), lengths(control, other, fraglen_control))
     W.write_track(track, out)
     return track
 

@@ -375,3 +375,16 @@ def test_cross_correlation_over_blocks(spark):
             p = (a[max(0, -k) : 9000 - max(0, k)] * b[max(0, k) : 9000 + min(0, k)]).sum()
             want[lag + start % 10] = p / 9000 / (x.var() * y.var()) ** 0.5
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_summaries_of_the_caller_and_first_occurrences(spark):
+    genome = spark.createDataFrame([("a", 40)], "seqname string, length long")
+    rows = spark.createDataFrame([("a", 0, 1.0), ("a", 1, 3.0), ("a", 2, 5.0), ("a", 3, 8.0)], "seqname string, bin long, value double")
+    stats = U.statistics(rows, [F.floor(F.col("bin") / 2).alias("half")])
+    assert {r.half: r.v for r in stats.select("half", U.summary(lambda s: s("max") - s("min")).alias("v")).collect()} == {0: 2.0, 1: 3.0}
+    got = U.Rollups(T.Track(rows, 10, genome), {}).slice("a", 0, 40, lambda s: s("sum") * 2, 20).orderBy("nth").collect()
+    assert [r.value for r in got] == [8.0, 26.0]
+    with pytest.raises(ValueError, match="none of"):
+        U.summary("middle")
+    (r,) = spark.createDataFrame([([10, 10, 20, 30, 20],)], "x array<long>").select(scalar.distinct_first(F.col("x")).alias("x")).collect()
+    assert r.x == [10, 20, 30]

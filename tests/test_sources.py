@@ -240,6 +240,10 @@ def test_tools_on_alignments_and_signals(spark, tmp_path):
     assert tools.bam_check_fastq(spark, a, [str(tmp_path / "a.fq")]).count() > 0
     bw = str(tmp_path / "cov.bw")
     track = tools.bam_to_bigwig(spark, [a], bw, C.CoverageOptions(bin_size=10))
+    tools.bam_to_bigwig(spark, [a], str(tmp_path / "more.bw"), C.CoverageOptions(bin_size=10, estimate_fraglen=True, max_delay=400, fraglen_range=(0, 400)), save_fraglen=True, save_cross_correlation=True)
+    (length,) = [int(r.value) for r in spark.read.text(str(tmp_path / "a.fraglen.txt")).collect()]
+    lags = {int(r.value.split("\t")[0]): float(r.value.split("\t")[1]) for r in spark.read.text(str(tmp_path / "a.fraglen.table")).collect()}
+    assert set(lags) == set(range(0, 400, 10)) and lags[length] == max(lags.values())
     back = {(r.seqname, r.bin): r.value for r in bigwig.read_track(spark, bw, 10).rows.collect()}
     want = {(r.seqname, r.bin): r.value for r in track.rows.collect()}
     assert back.keys() == want.keys() and all((back[k] or 0) == pytest.approx(want[k] or 0) for k in want) and sum(v or 0 for v in want.values()) > 0
