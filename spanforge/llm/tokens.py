@@ -14,7 +14,6 @@ A null text is the empty text; it has no ids but the end id of its document.
 
 from __future__ import annotations
 
-import itertools
 import os
 import re
 
@@ -37,11 +36,6 @@ UNITS = {"byte_bpe_50k.json": BYTE_UNITS, "word_bpe_49k.json": WORD_UNITS}
 #: neighbours, with one id, and the mark that keeps a unit out of such a row.
 BETWEEN = {"byte_bpe_50k.json": ("\n", re.compile(f".[{SPACE}]|^[{SPACE}]$", re.S)), "word_bpe_49k.json": (" 0 ", re.compile("0"))}
 
-#: Units of letters alone. In a row they need nothing between them: what the other pattern says of a token is where such a unit begins or ends.
-LETTERS = {"byte_bpe_50k.json": (re.compile(f" [{LETTER}]+"), "", re.compile("Ġ.*", re.S)), "word_bpe_49k.json": (re.compile(f"[{LETTER}]+"), " ", re.compile(".*</w>", re.S))}
-#: New units in a row; tokenizers are faster on rows of some kilobytes.
-ROW = 1000
-
 MEMO_UNITS = 1_000_000
 MEMO_CHARS = 48
 #: Texts that are encoded together, in characters.
@@ -73,40 +67,21 @@ class UnitEncoder:
         if self.units is not None:
             self.between, self.apart = BETWEEN[name]
             (self.mark,) = self.tok.encode(self.between, add_special_tokens=False).ids
-            self.letters, self.join, edge = LETTERS[name]
-            vocabulary = self.tok.get_vocab(with_added_tokens=True)
-            self.edge = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.edge[[i for token, i in vocabulary.items() if edge.fullmatch(token)]] = True
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _keep(self, units: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        k, raw = self.dtype.itemsize, ids.tobytes()
-        self.memo.update(zip(units, map(raw.__getitem__, map(slice, (k * starts).tolist(), (k * ends).tolist())), strict=True))
-
-    def _rows(self, units: list[str], between: str) -> np.ndarray:
-        rows = [between.join(units[at : at + ROW]) for at in range(0, len(units), ROW)]
-        found = self.tok.encode_batch_fast(rows, add_special_tokens=False)
-        return np.concatenate([np.zeros(0, self.dtype), *(np.asarray(e.ids, self.dtype) for e in found)])
-
     def _learn(self, new: list[str]) -> None:
-        plain = list(filter(self.letters.fullmatch, new))
-        ids = self._rows(plain, self.join)
-        edges = np.flatnonzero(self.edge[ids])
-        if len(edges) == len(plain):
-            if self.join:
-                self._keep(plain, ids, np.concatenate([[0], edges[:-1] + 1]), edges + 1)
-            else:
-                self._keep(plain, ids, edges, np.append(edges[1:], len(ids)))
-            new = list(set(new).difference(plain))
-        row = [u for u in new if self.apart.search(u) is None]
+        search = self.apart.search
+        row = [u for u in new if search(u) is None]
         ids = np.asarray(self.tok.encode_batch_fast([self.between.join(row)], add_special_tokens=False)[0].ids, dtype=self.dtype)
         ends = np.flatnonzero(ids == self.mark)
         if row and len(ends) == len(row) - 1:
-            self._keep(row, ids, np.append(0, ends + 1), np.append(ends, len(ids)))
+            k = self.dtype.itemsize
+            raw, cuts = ids.tobytes(), [-k, *(k * ends).tolist(), k * len(ids)]
+            self.memo.update(zip(row, map(raw.__getitem__, map(slice, [c + k for c in cuts], cuts[1:])), strict=False))
             new = set(new).difference(row) if len(row) < len(new) else ()
         self.memo.update((u, self._whole(u)) for u in new)
 
@@ -116,9 +91,8 @@ class UnitEncoder:
         whole = texts
         if self.units is WORD_UNITS:
             texts = [t if COMPOSING.search(t) else t.lower() for t in texts]
-        special = [i for i, t in enumerate(texts) if any(x in t for x in self.special)]
-        apart = set(special)
-        cut = [[] if i in apart else self.units.findall(t) for i, t in enumerate(texts)]
+        special = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
+        cut = [[] if i in special else self.units.findall(t) for i, t in enumerate(texts)]
         memo = self.memo
         units = set().union(*cut)
         new = list(units.difference(memo))
@@ -128,7 +102,7 @@ class UnitEncoder:
         for i in special:
             out[i] = self._whole(whole[i])
         if len(memo) > MEMO_UNITS:
-            self.memo = dict(itertools.islice(((u, x) for u, x in memo.items() if len(u) <= MEMO_CHARS), MEMO_UNITS // 4))
+            self.memo = {u: memo[u] for u in units if len(u) <= MEMO_CHARS}
         else:
             for u in new:
                 if len(u) > MEMO_CHARS:
