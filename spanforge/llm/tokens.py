@@ -4,8 +4,9 @@
 supported vocabularies never merge across the borders of the units cut here,
 so the ids of a text are the ids of its units in a row, and units that were
 met before need no second encoding. A worker process keeps one encoder for all
-its tasks. Its memory of units is bounded: at ``MEMO_UNITS`` entries all go but
-those of the latest texts, and long units are never kept.
+its tasks. Its memory of units is bounded: it has two halves, the younger takes
+what is met, and when it is full it becomes the older, whose units are taken
+over when they are met again. Long units are kept for one text.
 
 Texts that hold the string of a special token are encoded whole.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 import numpy as np
 
@@ -32,14 +34,16 @@ WORD_UNITS = re.compile(f"[{LETTER}]++(?![^{MARK}{SPACE}])|[{MARK}]++(?![^{LETTE
 #: Texts without such characters have no marks that compose with letters, and may be lower-cased before they are cut.
 COMPOSING = re.compile("[̀-\U0010ffff]")
 UNITS = {"byte_bpe_50k.json": BYTE_UNITS, "word_bpe_49k.json": WORD_UNITS}
-#: Stands between new units that are encoded in one go: a text that neither tokenizer joins to its
-#: neighbours, with one id, and the mark that keeps a unit out of such a row.
-BETWEEN = {"byte_bpe_50k.json": ("\n", re.compile(f".[{SPACE}]|^[{SPACE}]$", re.S)), "word_bpe_49k.json": (" 0 ", re.compile("0"))}
+#: Units that the tokenizer's own pattern leaves whole, so that its model alone gives their ids.
+WHOLE = {"byte_bpe_50k.json": re.compile(f" ?(?:[{LETTER}]+|[0-9]+)"), "word_bpe_49k.json": re.compile(f"[{LETTER}]+")}
+#: Both vocabularies spell bytes as characters: printable ones of Latin-1 (fixed values) as they are,
+#: the others in a row from U+0100 on.
+PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SPELLING = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in PRINTABLE)}
+SPACE_SPELT = chr(SPELLING[ord(" ")])
 
 MEMO_UNITS = 1_000_000
 MEMO_CHARS = 48
-#: Texts that are encoded together, in characters.
-GROUP_CHARS = 1_500_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -56,6 +60,26 @@ def load_tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Memo(dict):
+    """Ids of units; those it lacks are learnt."""
+
+    def __init__(self, learn: Callable[[str], bytes]):
+        self.learn = learn
+        self.older: dict[str, bytes] = {}
+        self.long: dict[str, bytes] = {}
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self.older.get(unit) or self.long.get(unit) or self.learn(unit)
+        if len(unit) > MEMO_CHARS:
+            self.long[unit] = ids
+        else:
+            if len(self) >= MEMO_UNITS // 2:
+                self.older = dict(self)
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 class UnitEncoder:
     """Encodes texts to little-endian unsigned ids of ``dtype``: 2 bytes where the vocabulary allows, else 4."""
 
@@ -65,49 +89,35 @@ class UnitEncoder:
         name = os.path.basename(path)
         self.units = UNITS.get(name)
         if self.units is not None:
-            self.between, self.apart = BETWEEN[name]
-            (self.mark,) = self.tok.encode(self.between, add_special_tokens=False).ids
+            self.lower = self.units is WORD_UNITS
+            self.is_whole = WHOLE[name].fullmatch
+            self.spell = self.tok.model.tokenize
+            self.raw = [i.to_bytes(self.dtype.itemsize, "little") for i in range(self.tok.get_vocab_size())]
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._learn)
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
-        search = self.apart.search
-        row = [u for u in new if search(u) is None]
-        ids = np.asarray(self.tok.encode_batch_fast([self.between.join(row)], add_special_tokens=False)[0].ids, dtype=self.dtype)
-        ends = np.flatnonzero(ids == self.mark)
-        if row and len(ends) == len(row) - 1:
-            k = self.dtype.itemsize
-            raw, cuts = ids.tobytes(), [-k, *(k * ends).tolist(), k * len(ids)]
-            self.memo.update(zip(row, map(raw.__getitem__, map(slice, [c + k for c in cuts], cuts[1:])), strict=False))
-            new = set(new).difference(row) if len(row) < len(new) else ()
-        self.memo.update((u, self._whole(u)) for u in new)
+    def _learn(self, unit: str) -> bytes:
+        if self.is_whole(unit) is None:
+            return self._whole(unit)
+        if self.lower:
+            unit = unit.lower()
+        raw = self.raw
+        spelt = unit.replace(" ", SPACE_SPELT) if unit.isascii() else unit.encode().decode("latin-1").translate(SPELLING)
+        return b"".join([raw[t.id] for t in self.spell(spelt)])
+
+    def _ids(self, text: str) -> bytes:
+        cut = text.lower() if self.lower and not COMPOSING.search(text) else text
+        if any(x in cut for x in self.special):
+            return self._whole(text)
+        ids = b"".join(map(self.memo.__getitem__, self.units.findall(cut)))
+        self.memo.long.clear()
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if self.units is None:
-            return [self._whole(t) for t in texts]
-        whole = texts
-        if self.units is WORD_UNITS:
-            texts = [t if COMPOSING.search(t) else t.lower() for t in texts]
-        special = {i for i, t in enumerate(texts) if any(x in t for x in self.special)}
-        cut = [[] if i in special else self.units.findall(t) for i, t in enumerate(texts)]
-        memo = self.memo
-        units = set().union(*cut)
-        new = list(units.difference(memo))
-        if new:
-            self._learn(new)
-        out = [b"".join(map(memo.__getitem__, us)) for us in cut]
-        for i in special:
-            out[i] = self._whole(whole[i])
-        if len(memo) > MEMO_UNITS:
-            self.memo = {u: memo[u] for u in units if len(u) <= MEMO_CHARS}
-        else:
-            for u in new:
-                if len(u) > MEMO_CHARS:
-                    del memo[u]
-        return out
+        return list(map(self._whole if self.units is None else self._ids, texts))
 
 
 _encoders: dict[str, UnitEncoder] = {}
@@ -126,14 +136,6 @@ def forget() -> None:
 
 
 def encoded(texts: list[str | None], encoder: UnitEncoder):
-    """Yields the ids of each text in order, encoding a bounded number of characters at a time."""
-    group: list[str] = []
-    size = 0
+    """Yields the ids of each text in order."""
     for t in texts:
-        group.append(t or "")
-        size += len(group[-1])
-        if size >= GROUP_CHARS:
-            yield from encoder.encode(group)
-            group, size = [], 0
-    if group:
-        yield from encoder.encode(group)
+        yield from encoder.encode([t or ""])
