@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 from collections.abc import Callable, Iterator
 
@@ -20,6 +21,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs within sends at most ROWS rows or 4 MB at once to Python, for whose batches an executor needs several times their size."""
+    short = {"spark.sql.execution.arrow.maxRecordsPerBatch": str(ROWS), "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
+    before = {k: spark.conf.get(k, None) for k in short}
+    for k, v in short.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def row_key() -> Column:
     """A key of a row of doc_id and text; rows without a doc_id have one for each text."""
     return F.xxhash64("doc_id", "text")

@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..shared import new_path, remove
-from .common import map_rows
-from .tokens import UnitEncoder, encoded, encoder_of, tokenizer_path
+from .common import map_rows, short_batches
+from .tokens import UnitEncoder, encoded, encoder_of, forget, tokenizer_path
 
 #: Ids under the rolling hash. Chunks are longer, so documents can be hashed in a row: no cut sees the one before.
 ROLL = 12
@@ -153,6 +153,7 @@ def write_store(
         return each
 
     def once(batches):
+        forget()  # no task from here on tokenizes
         seen: set[bytes] = set()
         for batch in batches:
             keep = []
@@ -164,7 +165,8 @@ def write_store(
 
     cut = map_rows(docs.select("doc_id", "text"), cutter, schema, tokenizes=True)
     dealt = cut.repartition(F.xxhash64("name", "doc_id", "root"))
-    dealt.mapInArrow(once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/dealt")
+    with short_batches(spark):
+        dealt.mapInArrow(once, schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/dealt")
 
     recipes = spark.read.schema(schema).parquet(f"{path}/dealt").where("kind = 'recipes'").select("doc_id", "n_tokens", "names", "ends", "root")
     ordered = recipes.repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
@@ -181,6 +183,7 @@ def _segments(ordered: DataFrame) -> DataFrame:
         from pyspark import TaskContext
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        forget()
         out = to_arrow_schema(schema)
         segment, position, before, leaves = TaskContext.get().partitionId(), 0, 0, []
         for b in batches:
@@ -266,11 +269,12 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
     """A row for each chunk of each document, with its length there and the ids that follow it."""
     @F.arrow_udf("string")
     def root_of(names: pa.Array, ends: pa.Array) -> pa.Array:
+        forget()
         return pa.array(map(document_root, names.to_pylist(), ends.to_pylist()), pa.string())
 
-    own = documents(spark, path).select(
-        "segment", "position", "doc_id", "start", "n_tokens", F.size("ends").alias("n_parts"), (root_of("names", "ends") == F.col("root")).alias("root_holds"), "names", F.posexplode("ends").alias("nth", "end"), "ends",
-    )
+    # roots come first, in a select of their own: beside the explosion they would be computed once for each chunk
+    rooted = documents(spark, path).withColumns({"n_parts": F.size("ends"), "root_holds": root_of("names", "ends") == F.col("root")})
+    own = rooted.select(*KEY, "names", F.posexplode("ends").alias("nth", "end"), "ends")
     length = F.col("end") - F.when(F.col("nth") > 0, F.expr("ends[nth - 1]")).otherwise(0)
     return own.select(*KEY, F.substring("names", F.col("nth") * NAME_BYTES + 1, F.lit(NAME_BYTES)).alias("name"), length.alias("length"), (F.col("n_tokens") - F.col("end")).alias("after"))
 
@@ -314,10 +318,11 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
     @F.pandas_udf("long")
     def shifted(crc: pd.Series, after: pd.Series) -> pd.Series:
+        forget()
         return pd.Series(crc_before(crc.to_numpy(np.int64), 4 * after.to_numpy(np.int64)).astype(np.int64))
 
     stored = chunks(spark, path).select("name", "ids")
-    own = map_rows(stored, crcs, StructType.fromDDL("name binary, crc long, n_ids long, holds boolean"), tokenizes=True)
+    own = map_rows(stored, crcs, StructType.fromDDL("name binary, crc long, n_ids long, holds boolean"))
     met = parts(spark, path).join(own, "name", "left").select(*KEY, shifted(F.coalesce("crc", F.lit(0)), "after").alias("crc"), "n_ids", F.expr("coalesce(holds and n_ids = length, false)").alias("holds"))
     whole = met.groupBy(*KEY).agg(F.bit_xor("crc").alias("ids_crc32"), F.count("*").alias("n_met"), F.sum("n_ids").alias("n_ids"), F.min("holds").alias("holds"))
     verified = F.expr("coalesce(holds and root_holds and n_met = n_parts and n_ids = n_tokens and segment_holds, false)")

@@ -15,6 +15,7 @@ A null text is the empty text; it has no ids but the end id of its document.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from collections.abc import Callable
@@ -132,7 +133,9 @@ def encoder_of(path: str) -> UnitEncoder:
 
 def forget() -> None:
     """Lets this process's encoders and what they remember go."""
-    _encoders.clear()
+    if _encoders:
+        _encoders.clear()
+        gc.collect()  # an encoder and its memory refer to each other
 
 
 def encoded(texts: list[str | None], encoder: UnitEncoder):

@@ -1,13 +1,19 @@
+import gc
+import os
+import time
+import weakref
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql.readwriter import DataFrameWriter
 from tokenizers import Tokenizer
 
-from spanforge.llm import packing, token_store
+from spanforge.llm import packing, token_store, tokens
 from spanforge.llm.tokens import UnitEncoder, tokenizer_path
 from spanforge.shared import new_path
 
@@ -106,6 +112,56 @@ def test_store_notices_changed_recipes(spark, damage):
     assert held == {r["doc_id"]: r["doc_id"] not in damaged for r in rows if r["kind"] == "documents"}
 
 
+def test_a_root_is_recomputed_once_a_document(spark):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}x{i % 7}" for i in range(3000)))], "doc_id long, text string")
+    path = token_store.write_store(docs, new_path(spark, "store"), cut_bits=3, least=12, most=32)
+    parts = token_store.parts(spark, path)
+    assert parts.count() > 200 and parts.select("root_holds").distinct().collect() == [(True,)]
+    plan = parts._jdf.queryExecution().optimizedPlan().toString()  # what is printed below runs before
+    assert plan.index("Generate") < plan.index("EvalPython")
+
+
+def test_an_encoder_forgotten_is_freed():
+    place = tokenizer_path("byte_bpe_50k.json")
+    freed = []
+    weakref.finalize(tokens.encoder_of(place), freed.append, 1)
+    gc.disable()  # an encoder and its memory refer to each other
+    try:
+        tokens.forget()
+        assert freed
+    finally:
+        gc.enable()
+
+
+def test_tasks_after_the_tokenizing_one_forget_its_tokens(spark):
+    def probe(batches):
+        list(batches)
+        time.sleep(0.05)
+        yield pd.DataFrame({"pid": [os.getpid()], "encoders": [len(tokens._encoders)]})
+        tokens.forget()
+
+    def workers():
+        return spark.range(0, 64, 1, 64).mapInPandas(probe, "pid long, encoders long").collect()
+
+    workers()  # what other tests left
+    docs = spark.createDataFrame([(i, f"text {i} of a few words " * 20) for i in range(40)], "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert all(r.verified for r in token_store.token_store(docs).collect())
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert not [r for r in workers() if r.encoders]
+
+
+def test_the_store_is_written_in_short_batches(spark, odd_docs, monkeypatch):
+    limit, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, path, *a: (seen.append((path.rsplit("/", 1)[1], int(spark.conf.get(limit)))), write(self, path, *a))[1])
+    before = spark.conf.get(limit)
+    path = token_store.write_store(odd_docs, new_path(spark, "store"))
+    assert dict(seen)["dealt"] <= 500 and spark.conf.get(limit) == before
+    assert all(r.verified for r in token_store.read_back(spark, path).collect())
+
+
 def test_empty_store(spark, no_docs):
     assert token_store.token_store(no_docs).count() == 0
     assert packing.pack(no_docs).count() == 0
