@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +13,8 @@ from ..functions.scalar import observed_over_expected_cpg
 
 #: Bases in a piece of a long sequence.
 PIECE = 1 << 16
+#: Rows that Python gives back at once, and a few more.
+ROWS = 1 << 15
 
 
 def as_bytes(sequence: Column) -> Column:
@@ -43,17 +49,26 @@ def motif_scan(sequences: DataFrame, motif: str) -> DataFrame:
 
 
 def unresolved(sequences: DataFrame, letters: str = "nN") -> DataFrame:
-    """Maximal runs of the letters as intervals (seqname, start, end)."""
-    # a run is what lies between two splits; its place is the sum of what is before
-    text = F.col("sequence")
-    run, other = F.regexp_extract_all(text, F.lit(f"[{letters}]+"), F.lit(0)), F.split(text, f"[{letters}]+", -1)
-    parts = F.transform(run, lambda x, i: F.struct(i.alias("i"), F.length(x).alias("n"), F.length(F.get(other, i)).alias("gap")))
-    each = sequences.select(F.col("name").alias("seqname"), F.explode(parts).alias("p")).select("seqname", "p.*")
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("seqname").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    ends = each.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(before).cast("long"))
-    return ends.select("seqname", (F.col("end") - F.col("n")).alias("start"), "end", F.lit("*").alias("strand"))
+    """Maximal runs of the letters as intervals (seqname, start, end). Each sequence is searched once, where it stands."""
+    pattern = f"[{letters}]+"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = re.compile(pattern).finditer
+        for batch in batches:
+            names, texts = batch.columns
+            row, start, end = [], [], []
+            for i, text in enumerate(texts):
+                for m in find(text.as_py() or ""):
+                    row.append(i)
+                    start.append(m.start())
+                    end.append(m.end())
+                if len(row) >= ROWS or i == len(texts) - 1:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(end, pa.int64())], ["seqname", "start", "end"])
+                    row, start, end = [], [], []
+
+    named = sequences.select(F.col("name").alias("seqname"), "sequence")
+    schema = f"seqname {named.schema['seqname'].dataType.simpleString()}, start long, end long"
+    return named.mapInArrow(run, schema).withColumn("strand", F.lit("*"))
 
 
 def extract(sequences: DataFrame, regions: DataFrame, size: int = PIECE) -> DataFrame:

@@ -388,3 +388,12 @@ def test_summaries_of_the_caller_and_first_occurrences(spark):
         U.summary("middle")
     (r,) = spark.createDataFrame([([10, 10, 20, 30, 20],)], "x array<long>").select(scalar.distinct_first(F.col("x")).alias("x")).collect()
     assert r.x == [10, 20, 30]
+
+
+def test_unresolved_is_linear_and_local(spark):
+    text = "én" * 20_000 + "xNNnx"
+    s = spark.createDataFrame([("a", text), ("b", None), ("c", "n")], "name string, sequence string")
+    out = Q.unresolved(s)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.seqname, r.start, r.end) for r in out.collect())
+    assert got == [("a", 2 * i + 1, 2 * i + 2) for i in range(20_000)] + [("a", 40_001, 40_004), ("c", 0, 1)]
