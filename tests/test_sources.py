@@ -264,3 +264,11 @@ def test_tools_on_alignments_and_signals(spark, tmp_path):
         write(tmp_path / f"{n}.bed", rows)
     diff = tools.segmentation_differential(spark, [str(tmp_path / "s1.bed"), str(tmp_path / "s2.bed")], ["A"], [bw, bw]).collect()
     assert sorted((r.seqname, r.start, r.end, tuple(r.labels)) for r in diff) == [("chr1", 0, 150, (0, 1)), ("chr2", 0, 100, (1,))]
+
+
+def test_bigwig_in_a_new_folder(spark, tmp_path):
+    genome = spark.createDataFrame([("a", 40)], "seqname string, length long")
+    track = Track.from_rows(spark.createDataFrame([("a", 1, 2.5)], "seqname string, bin long, value double"), genome, 10)
+    bigwig.write_track(track, path := f"file:{tmp_path}/not/yet/t.bw", [20])
+    assert [(r.bin, r.value) for r in bigwig.read_track(spark, path, 10).rows.where("value is not null").collect()] == [(1, 2.5)]
+    assert [(r.start, r.end, r.sum) for r in bigwig.read_zoom(spark, path, 20).collect()] == [(0, 20, 2.5)]
