@@ -8,15 +8,19 @@ alphabet's order, and its id is that code read as a number.
 from __future__ import annotations
 
 import itertools
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import complement, revcomp
-from .sequences import as_bytes, windows
+from .sequences import as_bytes, pieces, windows
 
 #: Letters in code order, and the bases each stands for (fixed values).
 ALPHABETS = {
@@ -25,6 +29,16 @@ ALPHABETS = {
     "ambiguous": {"a": "a", "c": "c", "g": "g", "t": "t", "w": "at", "s": "cg", "m": "ac", "k": "gt", "r": "ag", "y": "ct", "b": "cgt", "d": "agt", "h": "act", "v": "acg", "n": "acgt"},
 }
 PAIRS = {"a": "t", "c": "g", "g": "c", "t": "a"}
+#: Longest k-mer whose code fits a machine word.
+WORD = 31
+#: Pieces of sequences that are counted at once.
+AT_ONCE = 256
+#: Starts of windows in a piece of a sequence, and entries of windows that are compared at once.
+SPAN = 1 << 13
+CELLS = 1 << 20
+_CODE = np.full(256, -1, np.int8)
+for _i, _letter in enumerate("acgt"):
+    _CODE[[ord(_letter), ord(_letter.upper())]] = _i
 
 
 @dataclass(frozen=True)
@@ -133,6 +147,114 @@ def class_label(canonical_kmer: Column, relation: Relation) -> Column:
     return F.concat_ws("|", c, *([complement(c)] if relation.complement else []), *([F.reverse(c)] if relation.reverse else []), *([revcomp(c)] if relation.revcomp else []))
 
 
+def _codes(raw: np.ndarray, k: int, relation: Relation | None = None) -> np.ndarray:
+    """The code of the plain k-mer at each place of ``raw`` (of its class under ``relation``); -1 where another letter is in it."""
+    base = _CODE[raw]
+    n = max(0, len(base) - k + 1)
+    ahead, back, bad = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+    for j in range(k):
+        at, to = base[j : j + n], base[k - 1 - j : k - 1 - j + n]
+        bad |= at < 0
+        ahead *= 4
+        ahead += at
+        back *= 4
+        back += to
+    last = 4**k - 1
+    ways = [ahead]
+    if relation is not None:
+        ways += [last - ahead] * relation.complement + [back] * relation.reverse + [last - back] * relation.revcomp
+    out = ways[0]
+    for w in ways[1:]:
+        out = np.minimum(out, w)
+    return np.where(bad, -1, out)
+
+
+def _spelled(codes: np.ndarray, k: int) -> pa.Array:
+    """Codes as text."""
+    each, at = np.unique(codes, return_inverse=True)
+    letters = np.frombuffer(b"acgt", np.uint8)[(each[:, None] >> (2 * np.arange(k - 1, -1, -1))) & 3]
+    return pa.array(["" if not k else bytes(x).decode() for x in letters], pa.string()).take(pa.array(at.reshape(-1), pa.int64()))
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    each, at = np.unique(keys, return_inverse=True)
+    return each, np.bincount(at.reshape(-1), weights=counts, minlength=len(each)).astype(np.int64)
+
+
+def _piece_counts(sequences: DataFrame, k: int, relation: Relation | None, only: list[int] | None = None) -> DataFrame:
+    """(name, codes, counts) of each piece of a sequence that has any; ``only`` has the codes that are looked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = None if only is None else np.array(only, np.int64)
+        for batch in batches:
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                texts = part.column(1).to_pylist()
+                # a letter that is no base parts the sequences
+                raw = np.frombuffer(b"-".join(texts), np.uint8)
+                codes = _codes(raw, k, relation)
+                at = np.flatnonzero(codes >= 0 if wanted is None else (codes >= 0) & np.isin(codes, wanted))
+                ends = np.cumsum([len(t) + 1 for t in texts])
+                owner, codes = np.searchsorted(ends, at, "right"), codes[at]
+                kinds, codes = np.unique(codes, return_inverse=True)
+                keys, n = np.unique(owner * max(1, len(kinds)) + codes.reshape(-1), return_counts=True)
+                owner, codes = keys // max(1, len(kinds)), kinds[keys % max(1, len(kinds))] if len(kinds) else keys
+                have = np.unique(owner)
+                offsets = pa.array(np.append(np.searchsorted(owner, have), len(owner)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(v, pa.int64())) for v in (codes, n)]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(have, pa.int64())), *lists], ["name", "codes", "counts"])
+
+    cut = pieces(sequences.select("name", "sequence"), k - 1).where(F.octet_length("sequence") >= k).select("name", "sequence")
+    return cut.mapInArrow(run, f"name {cut.schema['name'].dataType.simpleString()}, codes array<long>, counts array<long>")
+
+
+def _class_counts(sequences: DataFrame, k: int, relation: Relation, binary: bool) -> DataFrame:
+    """(name, kmer, count) in the four-letter alphabet: only a list for each piece is dealt by name, and pieces of one name, side by side then, are added up."""
+    dealt = _piece_counts(sequences, k, relation).repartition("name").sortWithinPartitions("name")
+
+    def given(name: pa.Array, codes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([name, _spelled(codes, k), pa.array(np.ones_like(counts) if binary else counts, pa.int64())], ["name", "kmer", "count"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last name so far with its codes and counts
+        kind = None
+
+        def whole(held):
+            return given(pa.array([held[0]] * len(held[1]), kind), held[1], held[2])
+
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                names = part.column(0).to_pylist()
+                lengths = part.column(1).value_lengths().to_numpy()
+                codes, counts = (part.column(i).flatten().to_numpy() for i in (1, 2))
+                group = np.cumsum([0, *(a != b for a, b in zip(names, names[1:]))])
+                owner = np.repeat(group, lengths)
+                if group[-1] + 1 < len(names):
+                    kinds, codes = np.unique(codes, return_inverse=True)
+                    keys, counts = _summed(owner * len(kinds) + codes.reshape(-1), counts)
+                    owner, codes = keys // len(kinds), kinds[keys % len(kinds)]
+                heads = [names[i] for i in np.flatnonzero(np.diff(group, prepend=-1))]
+                if held is not None:
+                    if held[0] == heads[0]:
+                        own = owner == 0
+                        both = _summed(np.append(held[1], codes[own]), np.append(held[2], counts[own]))
+                        rest = owner > 0
+                        owner, codes, counts = np.append(np.zeros(len(both[0]), np.int64), owner[rest]), np.append(both[0], codes[rest]), np.append(both[1], counts[rest])
+                    else:
+                        yield whole(held)
+                last = owner == len(heads) - 1
+                held = heads[-1], codes[last], counts[last]
+                done = ~last
+                if done.any():
+                    yield given(pa.array(heads, kind).take(pa.array(owner[done], pa.int64())), codes[done], counts[done])
+        if held is not None:
+            yield whole(held)
+
+    return dealt.mapInArrow(run, f"name {dealt.schema['name'].dataType.simpleString()}, kmer string, count long")
+
+
 def count_kmers(sequences: DataFrame, relation: Relation, binary: bool = False) -> DataFrame:
     """(name, k, kmer, count): canonical member of each class with its windows; windows with other letters are left out.
 
@@ -140,6 +262,10 @@ def count_kmers(sequences: DataFrame, relation: Relation, binary: bool = False)
     """
     out = None
     for k in range(relation.n, relation.m + 1):
+        if relation.alphabet == "nucleotide" and k <= WORD:
+            counts = _class_counts(sequences, k, relation, binary).select("name", F.lit(k).alias("k"), "kmer", "count")
+            out = counts if out is None else out.unionByName(counts)
+            continue
         each = windows(sequences.select("name", "sequence"), k).withColumn("kmer", F.lower("kmer")).where(F.col("kmer").rlike("^[acgt]+$"))
         if relation.alphabet == "nucleotide":
             each = each.withColumn("kmer", canonical(F.col("kmer"), relation))
@@ -170,7 +296,24 @@ def count_given(sequences: DataFrame, relation: Relation, kmers: list[str]) -> D
     rows = sorted({(len(s), plain, relation.canonical(s.lower())) for s in kmers for plain in relation.instances(relation.canonical(s.lower()))})
     given = spark.createDataFrame(rows, "k int, plain string, kmer string")
     plain = Relation(relation.n, relation.m, relation.complement, relation.reverse, relation.revcomp)
-    counts = count_kmers(sequences, plain).withColumnRenamed("kmer", "plain")
+    counts = None
+    for k in range(relation.n, min(relation.m, WORD) + 1):
+        # only what is asked for leaves a piece
+        only = [(plain.code(p), p) for p in sorted({p for n, p, _ in rows if n == k})]
+        named = F.element_at(F.create_map(*[F.lit(x) for pair in only for x in pair]), F.col("c.codes")) if 0 < len(only) <= 1000 else None
+        if named is None:
+            each = count_kmers(sequences, Relation(k, k, relation.complement, relation.reverse, relation.revcomp)) if only else None
+        else:
+            found = _piece_counts(sequences, k, plain, [c for c, _ in only])
+            each = found.select("name", F.explode(F.arrays_zip("codes", "counts")).alias("c")).select("name", F.lit(k).alias("k"), named.alias("kmer"), F.col("c.counts").alias("count"))
+        if each is not None:
+            counts = each if counts is None else counts.unionByName(each)
+    if relation.m > WORD:
+        each = count_kmers(sequences, Relation(max(relation.n, WORD + 1), relation.m, relation.complement, relation.reverse, relation.revcomp))
+        counts = each if counts is None else counts.unionByName(each)
+    if counts is None:
+        return sequences.where("false").select("name", F.lit(0).alias("k"), F.lit("").alias("kmer"), F.lit(0).cast("long").alias("count"))
+    counts = counts.withColumnRenamed("kmer", "plain")
     met = counts.join(F.broadcast(given) if len(rows) <= 100_000 else given, ["k", "plain"])
     return met.groupBy("name", "k", "kmer").agg(F.sum("count").alias("count"))
 
@@ -209,23 +352,100 @@ def similarities(sequences: DataFrame, reference: str, relation: Relation, measu
     Starts are a step apart, one tenth of the reference by default; the last
     start leaves a step before the end.
     """
-    spark = sequences.sparkSession
     length = len(reference)
     step = max(1, length // 10) if step == -1 else step
-    ref = count_kmers(spark.createDataFrame([("reference", reference)], "name string, sequence string"), relation, binary)
-    ref = ref.select("k", "kmer", F.col("count").alias("x"))
-    delta = F.length("sequence") - length
-    starts = F.explode(F.sequence(F.lit(0), delta - step, F.lit(step)))
-    cut = sequences.where(delta >= step).select("name", starts.alias("start"), as_bytes(F.col("sequence")).alias("sequence"))
-    cut = cut.select(F.struct("name", "start").alias("name"), F.substring(F.col("sequence"), F.col("start") + 1, F.lit(length)).cast("string").alias("sequence"))
-    counts = count_kmers(cut, relation, binary).withColumnRenamed("count", "y")
-    met = counts.join(ref, ["k", "kmer"], "left")
-    sums = cut.select("name").join(met.groupBy("name").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), F.sum(F.col("y") * F.col("y")).alias("b")), "name", "left")
-    a = ref.agg(F.sum(F.col("x") * F.col("x")).alias("a"), F.count("*").alias("n")).first()
-    dot, b = F.coalesce("dot", F.lit(0)), F.coalesce("b", F.lit(0))
-    value = {
-        "cosine": F.try_divide(dot, F.sqrt(F.lit(a.a)) * F.sqrt(b)),
-        "tanimoto": F.try_divide(dot.cast("double"), F.lit(a.a) + b - dot),
-        "dot-product": F.try_divide(dot.cast("double"), F.lit(a.n)),
-    }[measure]
-    return sums.select("name.name", "name.start", value.alias("similarity"))
+    x = _members(reference, relation)
+    if binary:
+        x = dict.fromkeys(x, 1)
+    a, n = sum(v * v for v in x.values()), len(x)
+    size = max(1, SPAN // step) * step
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple[int, int], list[int]] = {}
+        ids: dict[tuple[int, str], int] = {}
+        for batch in batches:
+            for first in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(first, AT_ONCE)
+                texts, offset, total = part.column(1).to_pylist(), part.column(2).to_numpy(), part.column(3).to_numpy()
+                raw = np.frombuffer(b"".join(texts), np.uint8)
+                base = np.cumsum([0, *map(len, texts)])
+                many = np.minimum(size // step, (total - length - step - offset) // step + 1)
+                owner = np.repeat(np.arange(len(texts)), many)
+                nth = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+                starts = base[owner] + nth * step
+                layers = [_classes(raw, k, relation, x, memo, ids) for k in range(relation.n, min(relation.m, length) + 1)]
+                wide = max(1, sum((length - k + 1) * of.shape[1] for k, of, _ in layers))
+                chunk = max(1, CELLS // wide)
+                for i in range(0, len(starts), chunk):
+                    own = starts[i : i + chunk]
+                    dot, b = np.zeros(len(own)), np.zeros(len(own))
+                    for k, of, weight in layers:
+                        got = of[own[:, None] + np.arange(length - k + 1)].reshape(len(own), -1)
+                        got.sort(axis=1)
+                        new = np.ones(got.shape, bool)
+                        new[:, 1:] = got[:, 1:] != got[:, :-1]
+                        if binary:
+                            y = new & (got >= 0)
+                            b += y.sum(axis=1)
+                        else:
+                            # the n-th of equal ones adds 2 n - 1 to the square of their number
+                            at = np.arange(got.shape[1], dtype=np.int32)
+                            y = got >= 0
+                            b += np.where(y, 2 * (at - np.maximum.accumulate(np.where(new, at, 0), axis=1)) + 1, 0).sum(axis=1)
+                        dot += np.where(y, weight[got], 0).sum(axis=1)
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        value = {"cosine": lambda: dot / (np.sqrt(float(a)) * np.sqrt(b)), "tanimoto": lambda: dot / (a + b - dot), "dot-product": lambda: dot / n}[measure]()
+                    names = part.column(0).take(pa.array(owner[i : i + chunk], pa.int64()))
+                    start = pa.array((offset[owner[i : i + chunk]] + nth[i : i + chunk] * step).astype(np.int32), pa.int32())
+                    yield pa.RecordBatch.from_arrays([names, start, pa.array(value, pa.float64(), mask=~np.isfinite(value))], ["name", "start", "similarity"])
+
+    total = F.octet_length("sequence")
+    own = sequences.select("name", as_bytes(F.col("sequence")).alias("sequence")).where(total >= length + step).withColumn("total", total.cast("long"))
+    places = F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - length - step, F.lit(size).cast("long")))
+    cut = own.select("name", "sequence", places.alias("offset"), "total")
+    cut = cut.select("name", F.substring(F.col("sequence"), (F.col("offset") + 1).cast("int"), F.lit(size + length - 1)).alias("sequence"), "offset", "total")
+    return cut.mapInArrow(run, f"name {cut.schema['name'].dataType.simpleString()}, start int, similarity double")
+
+
+def _members(text: str, relation: Relation) -> Counter:
+    """(k, class) with its windows in a short text."""
+    out: Counter = Counter()
+    for k in range(relation.n, relation.m + 1):
+        for i in range(len(text) - k + 1):
+            s = text[i : i + k].lower()
+            if set(s) <= set("acgt"):
+                out.update((k, c) for c in _met(s, relation))
+    return out
+
+
+def _met(s: str, relation: Relation) -> list[str]:
+    """The classes that a plain k-mer counts for."""
+    if relation.alphabet == "nucleotide":
+        return [relation.canonical(s)]
+    return [c for c in relation.generalized(s) if relation.max_ambiguous is None or relation.ambiguous(c) <= relation.max_ambiguous]
+
+
+def _classes(raw: np.ndarray, k: int, relation: Relation, x: dict, memo: dict, ids: dict) -> tuple[int, np.ndarray, np.ndarray]:
+    """k, the numbers of the classes at each place as columns (-1 for none), and each number's count in the reference ``x``."""
+    if k <= WORD:
+        kinds, at = np.unique(_codes(raw, k), return_inverse=True)
+        spelled = [None if c < 0 else s for c, s in zip(kinds, _spelled(np.maximum(kinds, 0), k).to_pylist(), strict=True)]
+    else:
+        text = raw.tobytes().decode("ascii").lower()
+        kinds, at = np.unique([text[i : i + k] for i in range(max(0, len(text) - k + 1))], return_inverse=True)
+        spelled = [str(s) if set(s) <= set("acgt") else None for s in kinds]
+    lists = []
+    for s in spelled:
+        if s is not None and s not in memo:
+            memo[s] = [ids.setdefault((k, c), len(ids)) for c in _met(s, relation)]
+        lists.append([] if s is None else memo[s])
+    table = np.full((len(lists), max(1, max(map(len, lists), default=1))), -1, np.int64)
+    for i, own in enumerate(lists):
+        table[i, : len(own)] = own
+    # numbers of this layer alone, so that they stay short
+    used, short = np.unique(table, return_inverse=True)
+    short = short.reshape(table.shape) - (1 if len(used) and used[0] < 0 else 0)
+    kept = used[used >= 0]
+    back = {ids_: key for key, ids_ in ids.items()} if len(kept) else {}
+    weight = np.array([x.get(back[i], 0) for i in kept.tolist()] + [0], np.float64)
+    return k, short.astype(np.int16 if len(kept) < 1 << 15 else np.int32)[at.reshape(-1)], weight

@@ -397,3 +397,20 @@ def test_unresolved_is_linear_and_local(spark):
     assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
     got = sorted((r.seqname, r.start, r.end) for r in out.collect())
     assert got == [("a", 2 * i + 1, 2 * i + 2) for i in range(20_000)] + [("a", 40_001, 40_004), ("c", 0, 1)]
+
+
+def test_similarities_shuffle_nothing(spark, monkeypatch):
+    monkeypatch.setattr(K, "SPAN", 16)
+    r = random.Random(4)
+    texts = {f"s{i}": "".join(r.choice("acgtACGTn") for _ in range(n)) for i, n in enumerate((0, 11, 12, 70, 200))}
+    s = spark.createDataFrame(list(texts.items()), "name string, sequence string")
+    reference, relation = "acgattacgta", K.Relation(2, 3, alphabet="gapped")
+    out = K.similarities(s, reference, relation, "tanimoto")
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    x, want = K._members(reference, relation), {}
+    for name, text in texts.items():
+        for start in range(len(text) - len(reference)):
+            y = K._members(text[start : start + len(reference)], relation)
+            dot = sum(x[c] * n for c, n in y.items())
+            want[name, start] = pytest.approx(dot / (sum(v * v for v in x.values()) + sum(v * v for v in y.values()) - dot))
+    assert {(v.name, v.start): v.similarity for v in out.collect()} == want
