@@ -414,3 +414,10 @@ def test_similarities_shuffle_nothing(spark, monkeypatch):
             dot = sum(x[c] * n for c, n in y.items())
             want[name, start] = pytest.approx(dot / (sum(v * v for v in x.values()) + sum(v * v for v in y.values()) - dot))
     assert {(v.name, v.start): v.similarity for v in out.collect()} == want
+
+
+def test_given_kmers_leave_out_the_others_before_they_are_dealt(spark):
+    s = spark.createDataFrame([("a", "acgtnACC"), ("a", "ggt"), ("b", "ttt"), (None, "aca")], "name string, sequence string")
+    out = K.count_given(s, K.Relation(3, 3, alphabet="gapped"), ["acn", "gat"])
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert sorted(((x.name, x.kmer, x["count"]) for x in out.collect()), key=str) == [("a", "acn", 4), (None, "acn", 1)]
