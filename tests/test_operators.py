@@ -421,3 +421,10 @@ def test_given_kmers_leave_out_the_others_before_they_are_dealt(spark):
     out = K.count_given(s, K.Relation(3, 3, alphabet="gapped"), ["acn", "gat"])
     assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
     assert sorted(((x.name, x.kmer, x["count"]) for x in out.collect()), key=str) == [("a", "acn", 4), (None, "acn", 1)]
+
+
+def test_kmers_of_a_name_are_added_up_without_a_hash_table(spark):
+    s = spark.createDataFrame([("a", "acgt" * 40_000), ("a", "acg"), ("b", "ttt"), (None, "aca"), (None, "tgt"), ("c", "")], "name string, sequence string")
+    out = K.count_kmers(s, K.Relation(3, 3))
+    assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(((x.name, x.kmer, x["count"]) for x in out.collect()), key=str) == [('a', 'acg', 80001), ('a', 'gta', 79998), ('b', 'aaa', 1), (None, 'aca', 2)]
