@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from ..shared import write_table
 from .intervals import label_regions, merge_many, resize_center
 from .rollup import keep_scored, region_score
-from .track import Track, grid
+from .track import BLOCK, Track
+
+#: Bins that a task fills.
+PART = 1 << 20
 
 
 def states_to_track(segments: DataFrame, genome: DataFrame, bin_size: int, default: str | None = None) -> tuple[Track, DataFrame]:
@@ -26,16 +29,42 @@ def states_to_track(segments: DataFrame, genome: DataFrame, bin_size: int, defau
     states = firsts.withColumn("state", (F.row_number().over(Window.orderBy("_first")) - (0 if default else 1)).cast("long")).select("state", "name")
     if default:
         states = states.unionByName(segments.sparkSession.createDataFrame([(0, default)], "state long, name string"))
-    steps = F.sequence(F.col("start"), F.col("end") - 1, F.lit(bin_size).cast("long"))
-    bins = F.explode(F.transform(steps, lambda p: F.floor(p / bin_size)))
-    cells = segments.where("start < end").join(states, "name").select("seqname", bins.alias("bin"), "row_id", "state")
-    last = cells.groupBy("seqname", "bin").agg(F.max_by("state", "row_id").cast("double").alias("value"))
-    rows = grid(genome, bin_size).join(last, ["seqname", "bin"], "left")
+    known = segments.where("start < end").join(states, "name").select("seqname", "row_id", "state", "start", "end")
+    rows = _cells(known, genome, bin_size)
     if default:
         rows = rows.withColumn("value", F.coalesce("value", F.lit(0.0)))
     return Track(rows, bin_size, genome), states
 
 
+def _cells(segments: DataFrame, genome: DataFrame, bin_size: int) -> DataFrame:
+    """(seqname, bin, value): each bin of the genome with the state of the last segment that has it, or none.
+
+    Segments, not bins, are dealt by blocks of bins, into parts of bounded size.
+    A row at each block's start makes sure of the block; each row then also
+    gives the bins without a state up to the next row's.
+    """
+    n = F.floor(F.col("length") / bin_size).cast("long")
+    lengths = genome.select("seqname", n.alias("_n")).where("_n > 0")
+    total = lengths.agg(F.sum("_n")).first()[0] or 0
+    first = F.floor(F.col("start") / bin_size)
+    # a segment has a bin for each step from its start
+    last = first + F.floor((F.col("end") - 1 - F.col("start")) / bin_size)
+    spans = segments.join(F.broadcast(lengths), "seqname")  # one row a sequence
+    spans = spans.select("seqname", "_n", "row_id", "state", F.greatest(first, F.lit(0)).cast("long").alias("_a"), F.least(last, F.col("_n") - 1).cast("long").alias("_z")).where("_a <= _z")
+    spans = spans.withColumn("_block", F.explode(F.expr(f"sequence(_a div {BLOCK}, _z div {BLOCK})")))
+    spans = spans.select("seqname", "_n", "_block", "row_id", "state", F.greatest("_a", F.col("_block") * BLOCK).alias("_a"), F.least("_z", (F.col("_block") + 1) * BLOCK - 1).alias("_z"))
+    kinds = dict(spans.dtypes)
+    starts = lengths.withColumn("_block", F.explode(F.expr(f"sequence(0L, (_n - 1) div {BLOCK})")))
+    starts = starts.select("seqname", "_n", "_block", F.lit(None).cast(kinds["row_id"]).alias("row_id"), F.lit(None).cast(kinds["state"]).alias("state"), (F.col("_block") * BLOCK).alias("_a"), (F.col("_block") * BLOCK).alias("_z"))
+    dealt = spans.unionByName(starts).repartition(max(1, -(-total // PART)), "seqname", "_block")
+    cells = dealt.select("seqname", "_n", "_block", "row_id", "state", F.explode(F.sequence("_a", "_z")).alias("bin"))
+    own = cells.groupBy("seqname", "_block", "_n", "bin").agg(F.max_by("state", "row_id").cast("double").alias("value"))
+    following = F.lead("bin").over(Window.partitionBy("seqname", "_block").orderBy("bin"))
+    stop = F.coalesce(following, F.least(F.col("_n"), (F.col("_block") + 1) * BLOCK)) - 1
+    filled = own.withColumn("_stop", stop).select("seqname", F.col("bin").alias("_bin"), "value", F.explode(F.sequence("bin", "_stop")).alias("bin"))
+    return filled.select("seqname", "bin", F.when(F.col("bin") == F.col("_bin"), F.col("value")).alias("value"))
+
+
 def palette(n: int) -> list[str]:
     """``n`` colours around the circle of hues as 'r,g,b'."""
     import colorsys

@@ -428,3 +428,17 @@ def test_kmers_of_a_name_are_added_up_without_a_hash_table(spark):
     out = K.count_kmers(s, K.Relation(3, 3))
     assert "HashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
     assert sorted(((x.name, x.kmer, x["count"]) for x in out.collect()), key=str) == [('a', 'acg', 80001), ('a', 'gta', 79998), ('b', 'aaa', 1), (None, 'aca', 2)]
+
+
+def test_states_fill_blocks_without_dealing_bins(spark, monkeypatch):
+    monkeypatch.setattr(S, "BLOCK", 4)
+    monkeypatch.setattr(S, "PART", 8)
+    genome = spark.createDataFrame([("a", 135), ("b", 9), ("c", 40)], "seqname string, length long")
+    rows = [("a", 5, 12, "x", 0), ("a", 25, 95, "y", 1), ("a", 60, 70, "x", 2), ("a", 120, 400, "x", 3), ("d", 0, 50, "x", 4), ("b", 0, 9, "y", 5), ("a", 50, 50, "y", 6)]
+    segments = spark.createDataFrame(rows, "seqname string, start long, end long, name string, row_id long")
+    track, _ = S.states_to_track(segments, genome, 10)
+    plan = track.rows._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+    want = {("a", b): None for b in range(13)} | {("c", b): None for b in range(4)} | {("a", 0): 0.0, ("a", 12): 0.0} | {("a", b): 1.0 for b in range(2, 9)} | {("a", 6): 0.0}
+    got = track.rows.collect()
+    assert {(r.seqname, r.bin): r.value for r in got} == want and len(got) == len(want)
